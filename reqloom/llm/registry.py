@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reqloom.llm.linededup import OP4_SQL, op4_line_dedup
+from reqloom.llm.mixing import op5_mixing
+from reqloom.llm.neardup import op10_near_duplicates
+from reqloom.llm.quality import op6_quality
+from reqloom.llm.search import OP3_SQL, op3_top_k
 from reqloom.llm.secrets import op9_secrets
 from reqloom.llm.sharding import op7_sharding
 from reqloom.llm.token_counts import op2_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op7_sharding, op9_secrets)}
+    return {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_line_dedup, op5_mixing, op6_quality, op7_sharding, op9_secrets, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_top_k": OP3_SQL, "op4_line_dedup": OP4_SQL}
