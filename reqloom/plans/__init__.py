@@ -1 +1,5 @@
+"""Queries by name, each with the SQL that tells its result (None where SQL cannot)."""
 
+from reqloom.plans import matrix
+
+QUERIES = {**matrix.QUERIES}
