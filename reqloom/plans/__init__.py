@@ -1,5 +1,5 @@
 """Queries by name, each with the SQL that tells its result (None where SQL cannot)."""
 
-from reqloom.plans import matrix
+from reqloom.plans import matrix, relations, texts
 
-QUERIES = {**matrix.QUERIES}
+QUERIES = {**matrix.QUERIES, **texts.QUERIES, **relations.QUERIES}
