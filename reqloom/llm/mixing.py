@@ -6,7 +6,8 @@ stops at a multiple of its source's size, and the excess is reshared by weight u
 Fitting: a source's documents are counted by exact length. Whole copies of the source are taken while the target holds
 them. What remains is split over the lengths in proportion to their counts (so the mix keeps the source's shape), then
 filled by one more document of a length from the longest down, and the last gap is closed by bounded-knapsack dynamic
-programming over the lengths' remaining counts, as near to it from below as sums of lengths come. Last, of each length as
+programming over the lengths' remaining counts, as near to it from below as sums of lengths come. If that leaves a gap,
+one longer document is added and the programme takes back what is then too much, where that comes nearer. Last, of each length as
 many documents are selected as were counted, by a seeded hash; a length that many documents share is dealt over salts,
 whose counts say how many each gives, so no length has to fit in one task.
 
@@ -81,7 +82,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """(copies of every document, documents of each length that get one more), so that the words come near target."""
+    """(copies of every document, documents of each length that get one more, or if negative one less), so that the words come near target."""
     total = int((lengths * counts).sum())
     goal = int(round(target))
     if total == 0 or goal <= 0:
@@ -107,7 +108,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np
             more[i] += n
             free[i] -= n
             rest -= n * int(lengths[i])
-    return copies, more + knapsack(lengths, free, min(rest, GAP))
+    closed = knapsack(lengths, free, min(rest, GAP))
+    more += closed
+    gap = rest - int((closed * lengths).sum())
+    longer = np.flatnonzero((counts > more) & (lengths > gap))
+    if gap > 0 and len(longer):  # one longer document too many, and others of that much less, if that comes nearer
+        add = int(longer[np.argmin(lengths[longer])])
+        swapped = more.copy()
+        swapped[add] += 1
+        held = swapped + (counts if copies else 0)
+        held[add] = 0
+        less = knapsack(lengths, np.minimum(held, counts + swapped), int(lengths[add]) - gap)
+        if abs(int(lengths[add]) - gap - int((less * lengths).sum())) < gap:
+            more = swapped - less
+    return copies, more
 
 
 def _fit_source(part: pd.DataFrame) -> pd.DataFrame:
@@ -136,11 +150,11 @@ def mix(df: DataFrame, size: str, source: str = "source", weights: tuple = WEIGH
     plan = by_length.join(goals, "__source").groupBy("__source").applyInPandas(_fit_source, PLAN)
     before = Window.partitionBy("__source", "__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     quota = salted.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(plan, ["__source", "__size"])
-    quota = quota.select("__source", "__size", "__salt", "__copies", "source_size", "target", F.least("__n", F.greatest(F.lit(0), F.col("__more") - F.col("__before"))).alias("__quota"))
+    quota = quota.select("__source", "__size", "__salt", "__copies", "source_size", "target", F.least("__n", F.greatest(F.lit(0), F.abs("__more") - F.col("__before"))).alias("__quota"), F.signum("__more").cast("long").alias("__step"))
     ties = [f"c_{df.columns.index(c)}" for c in identity]
     place = F.row_number().over(Window.partitionBy("__source", "__size", "__salt").orderBy("__key", *ties))
     timed = docs.withColumn("__place", place).join(quota, ["__source", "__size", "__salt"])
-    times = F.col("__copies") + F.when(F.col("__place") <= F.col("__quota"), 1).otherwise(0)
+    times = F.col("__copies") + F.when(F.col("__place") <= F.col("__quota"), F.col("__step")).otherwise(0)
     return timed.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(df.columns)], "source_size", "target", times.alias("times"))
 
 
