@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reqloom.functions import text as N
 from reqloom.operators import extraction as X
 from reqloom.plans.texts import tender_documents
+from reqloom.sources.html import html_text
 
 
 def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +54,8 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunks(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks)}
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, page_texts)}

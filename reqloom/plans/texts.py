@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reqloom.functions import rules as R
 from reqloom.functions import text as N
+from reqloom.functions.kinds import answer_kind, best_keywords, keyword_scores
 from reqloom.functions.regexlib import any_of_sql, quoted, replaced_sql
 from reqloom.plans.corpus import PROJECTS_SQL, REQUIREMENTS_SQL, projects, requirements
 
@@ -250,3 +251,36 @@ QUERIES = {
     "split_rows": (split_rows, None),
     "normalised_tenders": (normalised_tenders, None),
 }
+
+
+#: Words of types for the keyword score; the operator takes any such table.
+KEYWORDS = {
+    "QUANTITATIVE": (("price", "pricing", "cost", "fee", "rate", "budget", "sla", "uptime", "per-user"), ("number", "count", "minimum")),
+    "EVIDENCE_BASED": (("certificate", "compliance", "audit", "gdpr", "insurance", "license", "iso-27001"), ("security", "proof", "documentation")),
+    "PROCEDURAL": (("workflow", "process", "implementation", "migration", "support", "backup", "submit"), ("plan", "timeline", "phase")),
+}
+
+
+def answer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = answer_kind(requirements(spark, sf_dir).select("requirement_id", "text", "section"), "text", "section", KEYWORDS)
+    band = F.when(F.col("kind_confidence") >= 85, "high").when(F.col("kind_confidence") >= 70, "good").when(F.col("kind_confidence") >= 55, "fair").otherwise("low")
+    return out.select("requirement_id", F.col("structure.kind").alias("structure"), F.col("structure.indicator").alias("indicator"), "kind", F.col("kind_confidence").alias("confidence"), band.alias("band"))
+
+
+def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword scores of all documents and the best type."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scores = keyword_scores(F.col("text"), KEYWORDS)
+    out = docs.select("doc_id", scores.alias("s"), F.coalesce(best_keywords(F.col("text"), KEYWORDS)["kind"], F.lit("")).alias("best"))
+    return out.select("doc_id", *[F.get("s", i)["score"].alias(k.lower()) for i, k in enumerate(KEYWORDS)], "best")
+
+
+def _score_sql(strong: tuple, weak: tuple) -> str:
+    count = lambda ws: " + ".join("(" + " or ".join(f"contains(t, {quoted(v)})" for v in dict.fromkeys((w, w.replace("-", " "), w.replace("-", "")))) + ")::int" for w in ws)
+    return f"(case when n > 0 then floor(least(100.0, (({count(strong)}) * 3 + {count(weak)}) / 15.0::double * 100) + 0.5) else 0 end)::int"
+
+
+DENSITY_SQL = f"""with d as (select doc_id, lower(text) as t, len(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: length(w) > 2)) as n from documents),
+s as (select doc_id, {', '.join(f'{_score_sql(*w)} as {k.lower()}' for k, w in KEYWORDS.items())} from d)
+select *, case when greatest({', '.join(k.lower() for k in KEYWORDS)}) < 15 then '' {' '.join(f"when {k.lower()} = greatest({', '.join(x.lower() for x in KEYWORDS)}) then '{k}'" for k in KEYWORDS)} end as best from s"""
+QUERIES |= {"answer_kinds": (answer_kinds, None), "keyword_density": (keyword_density, DENSITY_SQL)}
