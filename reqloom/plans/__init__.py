@@ -1,5 +1,5 @@
 """Queries by name, each with the SQL that tells its result (None where SQL cannot)."""
 
-from reqloom.plans import extracts, matrix, relations, texts
+from reqloom.plans import exchanges, extracts, matrix, relations, texts
 
-QUERIES = {**matrix.QUERIES, **texts.QUERIES, **relations.QUERIES, **extracts.QUERIES}
+QUERIES = {**matrix.QUERIES, **texts.QUERIES, **relations.QUERIES, **extracts.QUERIES, **exchanges.QUERIES}
