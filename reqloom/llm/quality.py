@@ -28,11 +28,11 @@ LEAST = 6
 SYMBOLS = "#*$%&|<>"
 #: Of each language or script: least and most characters a token, most byte-fallback share, entropy floor as (log2 tokens, bits) points.
 BANDS = {
-    "en": (1.55, 5.5, 0.20, ((6, 3.9), (7, 5.2), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.35), (12, 6.45), (13, 6.5))),
-    "fr": (1.45, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
-    "de": (1.55, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
-    "es": (1.45, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.6), (9, 5.9), (10, 6.15), (11, 6.3), (12, 6.35), (13, 6.4))),
-    "LATIN": (1.3, 6.0, 0.25, ((6, 3.5), (9, 5.2), (13, 5.8))),
+    "en": (1.1, 5.5, 0.20, ((6, 3.9), (7, 5.2), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.35), (12, 6.45), (13, 6.5))),
+    "fr": (1.1, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
+    "de": (1.1, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
+    "es": (1.1, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.6), (9, 5.9), (10, 6.15), (11, 6.3), (12, 6.35), (13, 6.4))),
+    "LATIN": (1.1, 6.0, 0.25, ((6, 3.5), (9, 5.2), (13, 5.8))),
     "GREEK": (0.8, 4.0, 0.30, ((6, 3.0), (9, 4.2), (13, 4.8))),
     "CYRILLIC": (1.0, 5.0, 0.30, ((6, 3.5), (9, 5.0), (13, 5.6))),
     "OTHER": (0.2, 6.0, 1.00, ((6, 2.5), (13, 3.5))),
