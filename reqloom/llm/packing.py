@@ -13,8 +13,10 @@ Ties in score go to the document that comes first in the shard's order (by hash,
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -33,23 +35,76 @@ K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens binary"
 
 
+def word_engine(vocabulary: str):
+    """(encoding, packed ids by rank): the vocabulary's merges for words in lower case, in an engine several times as fast.
+
+    The engine merges the adjacent pair whose joined bytes have the lowest rank; the vocabulary's library merges the listed
+    pair of the lowest rank. They agree where each token has one listed pair and its own bytes merge to itself (by
+    induction over the length of a token's span), which the tests verify for the whole vocabulary. A word ends in a line
+    break, which stands for the vocabulary's mark of word ends and never occurs inside a word.
+    """
+    import tiktoken
+
+    with open(tokenizer_file(vocabulary), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    ranks = ranks_of(model["merges"])
+    ids = {token_of(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
+    packed = [np.array([ids[b]], dtype="<u4").tobytes() if b in ids else b"" for b in ranks]
+    return tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={}), packed
+
+
+BREAK, MARK = b"\n", "</w>"
+
+
+def byte_of_letter() -> dict[str, int]:
+    """The vocabulary writes bytes as letters: printable ones as themselves, the others as the letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+_BYTES = byte_of_letter()
+
+
+def token_of(written: str) -> bytes:
+    end = written.endswith(MARK) and written != MARK
+    return bytes(_BYTES[c] for c in (written.removesuffix(MARK) if end else written)) + (BREAK if end else b"")
+
+
+def ranks_of(merges: list) -> dict[bytes, int]:
+    """Bytes, bytes that end a word, then the merges, in order."""
+    ranks: dict[bytes, int] = {}
+    for b in [*(bytes([x]) for x in range(256)), *(bytes([x]) + BREAK for x in range(256))]:
+        ranks.setdefault(b, len(ranks))
+    for pair in merges:
+        a, b = pair if isinstance(pair, list) else pair.split(" ")
+        ranks.setdefault(token_of(a) + token_of(b), len(ranks))
+    return ranks
+
+
 class TokenBytes(dict):
     """Token ids of white-space-free strings as little-endian 32-bit numbers, kept up to a number of strings.
 
     The vocabulary's tokenizer drops white space and never looks across it, so a text's ids are those of its strings in a
-    row. It also splits letters from what follows and lowers them, which saves most misses for words before a mark.
+    row. It splits letters from what follows and lowers them: a word before a mark, or with a capital, is the word itself;
+    words of small letters go to the fast engine, all else to the tokenizer.
     """
 
-    MOST = 1_000_000
+    MOST = 300_000
 
-    def __init__(self, tokenizer):
+    def __init__(self, vocabulary: str):
         super().__init__()
-        self.tokenizer = tokenizer
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file(vocabulary))
+        self.engine, self.packed = word_engine(vocabulary)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        if word[-1:] in (".", ",") and len(word) > 1 and word[:-1].isalpha():
+        if word.isalpha() and word.islower() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word == "".join(map(str.lower, word)))):
+            value = b"".join(map(self.packed.__getitem__, self.engine.encode_ordinary(word + "\n")))
+        elif word[-1:] in (".", ",") and len(word) > 1 and word[:-1].isalpha():
             value = self[word[:-1]] + self[word[-1]]
         elif "A" <= word[:1] <= "Z" and word.isalpha() and word[1:].islower():
             value = self[word.lower()]
@@ -66,9 +121,7 @@ _SPLIT = re.compile(r"[ \n]+")
 def token_bytes(text: str | None, vocabulary: str = VOCABULARY) -> bytes:
     """The ids of the whole text, without special tokens, as little-endian 32-bit numbers."""
     if vocabulary not in _LOADED:
-        from tokenizers import Tokenizer
-
-        _LOADED[vocabulary] = TokenBytes(Tokenizer.from_file(tokenizer_file(vocabulary)))
+        _LOADED[vocabulary] = TokenBytes(vocabulary)
     known = _LOADED[vocabulary]
     return b"".join([known[w] for w in _SPLIT.split(text) if w]) if text else b""
 
@@ -106,6 +159,7 @@ class Index:
 def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece. documents: token ids, in the shard's order."""
     index, n = Index(documents), len(documents)
+    sizes = np.array([len(d) for d in documents], dtype=np.int64)
     unused, next_seed = np.ones(n, dtype=bool), 0
     pieces, sequence, filled = [], 0, 0
     rest: tuple[int, int] | None = None  # a document that was cut, and where it goes on
@@ -133,15 +187,17 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[
             order = np.argsort(-scores, kind="stable")
             order = order[scores[order] > 0]
             left_out = -1
-            for doc in order:
-                size = len(documents[doc])
-                if size <= window - filled:
-                    put(int(doc), 0, size)
-                    unused[doc] = False
-                    if filled == window:
-                        break
-                elif left_out < 0:
-                    left_out = int(doc)
+            while filled < window and len(order):
+                fits = sizes[order] <= window - filled
+                place = int(np.argmax(fits))
+                if left_out < 0 and not fits[0]:
+                    left_out = int(order[0])
+                if not fits[place]:
+                    break
+                doc = int(order[place])
+                put(doc, 0, int(sizes[doc]))
+                unused[doc] = False
+                order = order[place + 1 :]
             if filled < window and left_out >= 0:
                 unused[left_out] = False
                 at = put(left_out, 0, window)

@@ -91,6 +91,36 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(packing.token_bytes(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_engine_agrees_with_the_vocabulary():
+    """Each token has one listed pair, and its own bytes merge to itself: the condition under which the two engines agree."""
+    import json
+
+    from reqloom.llm.common import tokenizer_file
+
+    with open(tokenizer_file(packing.VOCABULARY), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    rank = {(packing.token_of(a), packing.token_of(b)): i for i, (a, b) in enumerate(pairs)}
+    joined = [a + b for a, b in rank]
+    assert len(set(joined)) == len(joined) == len(pairs)
+    for token in joined:
+        body, end = (token[:-1], token[-1:]) if token.endswith(packing.BREAK) else (token, b"")
+        parts = [bytes([x]) for x in body]
+        parts[-1] += end
+        while len(parts) > 1:
+            best = min((rank.get(p, len(rank)), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if best[0] == len(rank):
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert parts == [token]
+    known = packing.TokenBytes(packing.VOCABULARY)
+    rng = random.Random(6)
+    letters = "etaoinshrdlucmfwypvbgkjqxzéèüñßçœøаиот"
+    for _ in range(20_000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 18)))
+        assert np.frombuffer(known[word], "<u4").tolist() == known.tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
 def test_bm25_ranks_as_the_formula():
     rng = np.random.default_rng(1)
     documents_ = [rng.integers(0, 40, rng.integers(1, 30)) for _ in range(25)]
