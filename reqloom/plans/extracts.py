@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reqloom.functions import text as N
 from reqloom.operators import extraction as X
+from reqloom.operators import profile as P
 from reqloom.plans.texts import tender_documents
 from reqloom.sources.html import html_text
 
@@ -58,4 +59,17 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, page_texts)}
+def profile_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample, table of contents and skipped section of all documents and tenders."""
+    docs = documents(spark, sf_dir).unionByName(tenders(spark, sf_dir))
+    t = F.col("text")
+    return docs.select("doc_id", P.sample(t, 2000).alias("sample"), P.contents(t).alias("contents"), P.without_section(t, F.lit("Scope of Work")).alias("rest"))
+
+
+def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tenders(spark, sf_dir)
+    rows = X.candidates(docs)
+    return P.range_texts(docs, rows, docs.select("doc_id", F.lit("3.1").alias("first"), F.lit("3.2.99999").alias("last")))
+
+
+QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, page_texts, profile_inputs, range_texts)}
