@@ -46,7 +46,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words, kept up to a number of words."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
