@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -86,11 +85,11 @@ class TokenBytes(dict):
     """Token ids of white-space-free strings as little-endian 32-bit numbers, kept up to a number of strings.
 
     The vocabulary's tokenizer drops white space and never looks across it, so a text's ids are those of its strings in a
-    row. It splits letters from what follows and lowers them: a word before a mark, or with a capital, is the word itself;
-    words of small letters go to the fast engine, all else to the tokenizer.
+    row. It splits letters from signs that follow and lowers them letter by letter: so a word of letters goes, lowered, to
+    the fast engine, signs after it go on their own, and all else goes to the tokenizer.
     """
 
-    MOST = 300_000
+    MOST = 400_000
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -98,32 +97,45 @@ class TokenBytes(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(vocabulary))
         self.engine, self.packed = word_engine(vocabulary)
+        self[""] = b""
+
+    def make_room(self) -> None:
+        """Long strings go first, as short ones come again more often; all go if that is not enough."""
+        for word in [w for w in self if len(w) > 6]:
+            del self[word]
+        if len(self) > self.MOST // 2:
+            self.clear()
+            self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
-            self.clear()
-        if word.isalpha() and word.islower() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word == "".join(map(str.lower, word)))):
-            value = b"".join(map(self.packed.__getitem__, self.engine.encode_ordinary(word + "\n")))
-        elif word[-1:] in (".", ",") and len(word) > 1 and word[:-1].isalpha():
-            value = self[word[:-1]] + self[word[-1]]
-        elif "A" <= word[:1] <= "Z" and word.isalpha() and word[1:].islower():
-            value = self[word.lower()]
+            self.make_room()
+        core = word.rstrip(MARKS)
+        if core != word:
+            whole = core.isalpha() and "İ" not in core  # lowered, that letter ends in a sign of its own
+            value = self[core] + self[word[len(core) :]] if whole else self.tokenized(word)
+        elif word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            low = "".join(map(str.lower, word))  # letter by letter, as the vocabulary's normalizer
+            value = b"".join(map(self.packed.__getitem__, self.engine.encode_ordinary(low + "\n"))) if low.isalpha() else self.tokenized(word)
         else:
-            value = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            value = self.tokenized(word)
         self[word] = value
         return value
 
+    def tokenized(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
+#: Signs that never join with letters before them; no apostrophe, which can.
+MARKS = ".,;:!?#*$%&|()[]{}-+=/\\\"~^_@"
 _LOADED: dict[str, TokenBytes] = {}
-_SPLIT = re.compile(r"[ \n]+")
 
 
 def token_bytes(text: str | None, vocabulary: str = VOCABULARY) -> bytes:
     """The ids of the whole text, without special tokens, as little-endian 32-bit numbers."""
     if vocabulary not in _LOADED:
         _LOADED[vocabulary] = TokenBytes(vocabulary)
-    known = _LOADED[vocabulary]
-    return b"".join([known[w] for w in _SPLIT.split(text) if w]) if text else b""
+    return b"".join(map(_LOADED[vocabulary].__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
 class Index:
