@@ -180,6 +180,23 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small, "stars")
 
 
+def open_pairs(rows: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(centre, member) of all pairs of a bucket in different components whose sizes allow a link, without the tested ones. rows: bucket, node, n, component.
+
+    Members outside a bucket's largest component meet all members, so those inside it never meet each other.
+    """
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
+    mixed_ = sizes.groupBy("bucket").agg(F.max(F.struct("held", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    held = written(rows.join(mixed_.select("bucket", "main"), "bucket"), "mixed")
+    a, b = held.where("component <> main").alias("a"), held.alias("b")
+    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & fits & once)
+    pairs = met.select(F.least("a.node", "b.node").alias("centre"), F.greatest("a.node", "b.node").alias("member")).distinct()
+    done = tested.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member")).distinct()
+    return pairs.join(done, ["centre", "member"], "left_anti")
+
+
 def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """node, component of all nodes that confirmed links join; None if no two sets share a bucket."""
     bands = sets.select("node", "n", F.explode("buckets").alias("bucket"))
@@ -188,7 +205,7 @@ def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     weights = shared.groupBy("node").agg(F.sum("held").alias("weight"))
     members = written(shared.join(weights, "node").select("bucket", "node", "n", "weight"), "members")
     texts = written(docs.join(weights.select("node"), F.col("doc_id") == F.col("node"), "left_semi"), "texts")
-    links, found, centres_so_far = None, None, None
+    links, found, centres_so_far, tested = None, None, None, None
     while True:
         if found is None:
             rows = members.withColumn("component", F.col("node"))
@@ -202,11 +219,17 @@ def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
         fits = (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")) & (F.col("component") != F.col("of")) & (F.col("node") != F.col("centre"))
         edges = written(rows.join(centres, "bucket").where(fits).select("centre", F.col("node").alias("member")).distinct(), "edges")
         fresh = written(confirm(edges, texts, percent), "links")
+        tested = edges if tested is None else tested.unionByName(edges)
         if fresh.isEmpty():
-            return found
+            break
         links = fresh if links is None else links.unionByName(fresh)
         found = written(components(links), "components")
         centres_so_far = centres.select("bucket", "centre") if centres_so_far is None else centres_so_far.unionByName(centres.select("bucket", "centre"))
+    pairs = written(open_pairs(rows.select("bucket", "node", "n", "component"), tested, percent), "pairs")
+    fresh = written(confirm(pairs, texts, percent), "links")
+    if fresh.isEmpty():
+        return found
+    return written(components(fresh if links is None else links.unionByName(fresh)), "components")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -511,6 +511,15 @@ def test_near_duplicates(docs, empty, spark):
     assert sorted(map(str, got)) == sorted(map(str, plain_components(rows)))
 
 
+def test_near_duplicates_behind_unlinked_centres(spark):
+    # All 62 texts share 1000 shingles. The 60 with 95 own ones are the buckets' centres and below 0.85 to all; the last two reach 1000 / 1170.
+    common = [f"c{i}" for i in range(1004)]
+    rows = [(i, " ".join(common + [f"o{i}x{k}" for k in range(95 if i < 60 else 85)])) for i in range(62)]
+    got = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(plain_components(rows))
+    assert (61, 1085, 60, False) in got
+
+
 def test_densification_keeps_similarity():
     rng = np.random.default_rng(0)
     errors = []
