@@ -3,7 +3,8 @@
 Fertility of a document under a public vocabulary with byte fallback: characters of its words per token, the share of
 tokens that are byte fallbacks, and the Shannon entropy of its token distribution. A document is rejected if one of the
 three leaves the band of its language; for an unknown or null language the band of its commonest script is taken.
-Entropy grows with length, so its floor is a line over log2(tokens); documents under 2**LEAST tokens are too short for
+Entropy grows with length, so its floor is a line over log2(tokens); so is that of characters a token, as one long key
+weighs more in a short document. Documents under 2**LEAST tokens are too short for
 the three figures to mean anything, and pass. Bands were set once below what clean text shows, to reject only outliers.
 
 Null and empty texts have no words and fail the base rules. Each row is judged on its own, so ties and repeated rows do
@@ -26,16 +27,16 @@ from reqloom.llm.common import WHITE, table, tokenizer_file
 VOCABULARY = "piece_bpe_32k.model"
 LEAST = 6
 SYMBOLS = "#*$%&|<>"
-#: Of each language or script: least and most characters a token, most byte-fallback share, entropy floor as (log2 tokens, bits) points.
+#: Of each language or script: floor of characters a token as (log2 tokens, characters) points, most characters a token, most byte-fallback share, entropy floor as (log2 tokens, bits) points.
 BANDS = {
-    "en": (1.1, 5.5, 0.20, ((6, 3.9), (7, 5.2), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.35), (12, 6.45), (13, 6.5))),
-    "fr": (1.1, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
-    "de": (1.1, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
-    "es": (1.1, 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.6), (9, 5.9), (10, 6.15), (11, 6.3), (12, 6.35), (13, 6.4))),
-    "LATIN": (1.1, 6.0, 0.25, ((6, 3.5), (9, 5.2), (13, 5.8))),
-    "GREEK": (0.8, 4.0, 0.30, ((6, 3.0), (9, 4.2), (13, 4.8))),
-    "CYRILLIC": (1.0, 5.0, 0.30, ((6, 3.5), (9, 5.0), (13, 5.6))),
-    "OTHER": (0.2, 6.0, 1.00, ((6, 2.5), (13, 3.5))),
+    "en": (((6, 1.1), (8, 1.55)), 5.5, 0.20, ((6, 3.9), (7, 5.2), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.35), (12, 6.45), (13, 6.5))),
+    "fr": (((6, 1.1), (8, 1.45)), 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
+    "de": (((6, 1.1), (8, 1.45)), 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
+    "es": (((6, 1.1), (8, 1.45)), 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.6), (9, 5.9), (10, 6.15), (11, 6.3), (12, 6.35), (13, 6.4))),
+    "LATIN": (((6, 1.1), (8, 1.3)), 6.0, 0.25, ((6, 3.5), (9, 5.2), (13, 5.8))),
+    "GREEK": (((6, 0.8),), 4.0, 0.30, ((6, 3.0), (9, 4.2), (13, 4.8))),
+    "CYRILLIC": (((6, 1.0),), 5.0, 0.30, ((6, 3.5), (9, 5.0), (13, 5.6))),
+    "OTHER": (((6, 0.2),), 6.0, 0.60, ((6, 2.5), (13, 3.5))),
 }
 SCRIPTS = (("LATIN", re.compile(r"[A-Za-zÀ-ɏ]")), ("GREEK", re.compile(r"[Ͱ-Ͽ]")), ("CYRILLIC", re.compile(r"[Ѐ-ӿ]")))
 MEASURES = T.StructType(
@@ -102,8 +103,8 @@ def verdict(n_tokens: int, figures: tuple[float, float, float], band: tuple) ->
     low, high, most_bytes, floor = band
     if n_tokens < 2**LEAST:
         return True
-    x, y = zip(*floor, strict=True)
-    return low <= figures[0] <= high and figures[1] <= most_bytes and figures[2] >= np.interp(np.log2(n_tokens), x, y)
+    least = lambda points: np.interp(np.log2(n_tokens), *zip(*points, strict=True))
+    return bool(least(low) <= figures[0] <= high and figures[1] <= most_bytes and figures[2] >= least(floor))
 
 
 def _measure(batches: Iterator[pa.RecordBatch], model_file: str, bands: dict) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,25 @@ def test_quality_bands():
     assert quality.script_of("привет мир") == "CYRILLIC" and quality.script_of("日本語") == "OTHER" and quality.script_of("") in quality.BANDS
 
 
+def test_quality_rejects_noise():
+    import base64
+
+    model, is_byte = quality.vocabulary(quality.VOCABULARY)
+    rng = random.Random(1)
+
+    def kept(text, band):
+        ids = np.asarray(model.encode(text))
+        return quality.verdict(len(ids), quality.fertility(ids, quality.base_measures(text)[1], is_byte), quality.BANDS[band])
+
+    keys = "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(60))
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(300))
+    assert not kept(keys, "LATIN")
+    for band in ("en", "fr", "de", "es"):
+        assert not kept(keys, band) and not kept(noise, band)
+    assert quality.verdict(70, (1.19, 0.0, 5.0), quality.BANDS["en"])  # a short document with a long key
+    assert not kept("".join(chr(rng.randrange(0x1400, 0x1600)) for _ in range(300)), "OTHER") and kept("日本語の文章です。これは長い文です。" * 20, "OTHER")
+
+
 # ---------------------------------------------------------------- sharding
 
 
