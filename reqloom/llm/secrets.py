@@ -31,13 +31,15 @@ CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 20, 3.0),
     ("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.7),
 )
-#: Candidates that match one of these are no secrets: UUIDs, placeholders, runs of the alphabet or of digits, one character repeated eight times, paths of four parts or more.
+_PART = r"(?:[A-Za-z]?[a-z]++[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]{1,4}+)"
+_NAME = rf"{_PART}(?:[_-]{_PART})*+"
+#: Candidates that match one of these are no secrets: UUIDs, placeholders, and what consists of nothing but runs of the alphabet or of digits, of one character, or of a path of three word-like parts or more.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|sample|dummy|your_",
-    r"(?i)abcdefgh|01234567|12345678",
-    r"(.)\1{7}",
-    r"([A-Za-z0-9_-]+/){3,}",
+    r"(?i)^(?:abcdef(?:gh(?:ij(?:klmnop(?:qrstuvwxyz)?)?)?)?|0|1234567(?:89?)?|[+/_=-])++$",
+    r"^(.)\1{7,}$",
+    rf"^/*+(?:{_NAME}/){{3,}}+(?:{_NAME})?$",
 )
 SCALE = 1 << 20
 BLOCK = 512

@@ -478,6 +478,20 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def entropy_spans(spark, texts):
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [[(x.start, x.end) for x in r.all_spans if x.kind == "entropy"] for r in rows]
+
+
+def test_allow_list_spares_long_keys(spark):
+    rng = random.Random(3)
+    b64 = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    keys = [*[b64(1600) for _ in range(5)], b64(40) + "AAAAAAAA", "--------" + b64(40), b64(40) + "01234567" + b64(40)]
+    assert all(entropy_spans(spark, keys))
+    plain = ["src/Main/app2/view_models/2024/index", "0123456789" * 2000, "=" * 20000, "ab/" * 7000 + "1", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    assert not any(entropy_spans(spark, plain))
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
