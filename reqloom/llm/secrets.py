@@ -26,10 +26,15 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # the shortest that the rule keeps has 16 charact
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
-#: Of each character class: name, full match, alphabet, window, bits above which a window is reported.
+#: Of each character class (each candidate is in exactly one): name, full match, alphabet, window, bits above which a window is reported.
 CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 20, 3.0),
     ("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.7),
+    ("lower", r"^(?=.*[0-9])(?=.*[a-z])(?![0-9a-f]+$)[a-z0-9+/_=-]+$", "abcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.6),
+    ("upper", r"^(?=.*[0-9])(?=.*[A-Z])(?![0-9A-F]+$)[A-Z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", 20, 3.6),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 20, 3.9),
+    ("onecase", r"^(?=.*[A-Za-z])([a-z+/_=-]+|[A-Z+/_=-]+)$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 24, 3.8),
+    ("digits", r"^[0-9+/_=-]+$", "0123456789+/_=-", 20, 3.1),
 )
 _PART = r"(?:[A-Za-z]?[a-z]++[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]{1,4}+)"
 _NAME = rf"{_PART}(?:[_-]{_PART})*+"
@@ -111,7 +116,7 @@ def _matches(df: DataFrame, text: str, kind: str, pattern: str, may: Column, gro
 def _entropy(df: DataFrame, classes: tuple, allow: tuple) -> DataFrame:
     """Turns the candidates in __entropy into the spans that the windows give."""
     allowed = " or ".join(f"x.said rlike {_literal(p)}" for p in allow) or "false"
-    df = df.withColumn("__entropy", F.expr(f"filter(__entropy, x -> x.said rlike '[0-9]' and not ({allowed}))"))
+    df = df.withColumn("__entropy", F.expr(f"filter(__entropy, x -> not ({allowed}))"))
     parts = []
     for name, full, alphabet, window, bits in classes:
         said = "lower(x.said)" if name == "hex" else "x.said"
