@@ -85,6 +85,11 @@ def clean_tags(tags: Column) -> Column:
     return F.array_distinct(F.slice(ok, 1, 20))
 
 
+def has_any(tags: Column, wanted: list[str]) -> Column:
+    """Whether the cleaned tags hold one of the wanted ones; wanted tags are cleaned alike. False for null."""
+    return F.coalesce(F.arrays_overlap(tags, clean_tags(F.array(*[F.lit(w) for w in wanted]).cast("array<string>"))), F.lit(False))
+
+
 def change_history(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Versions: the former value at each change, newest first (version 1). No version where there was no former value."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -77,7 +77,7 @@ where (contains(lower(text), 'the') or contains(lower(source), 'the')) and lang
 
 
 def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct cleaned tags of parts that carry one of two tags."""
+    """How many parts use each cleaned tag, of the parts whose key is no multiple of three; tag_counts is over all parts."""
     raw = F.split(F.concat_ws("|", "p_brand", F.concat(F.lit(" "), "p_type", F.lit(" ")), F.lit(""), "p_brand", "p_name"), r"\|")
     tagged = table(spark, sf_dir, "part").select("p_partkey", J.clean_tags(raw).alias("tags")).where("p_partkey % 3 <> 0")
     return tagged.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("used"))
@@ -87,6 +87,28 @@ TAG_SQL = """with t as (select list_distinct(list_slice(list_filter(list_transfo
   from part where p_partkey % 3 <> 0) select tag, count(*) as used from (select unnest(tags) as tag from t) group by tag"""
 
 
+def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.split(F.concat_ws("|", "p_brand", F.concat(F.lit(" "), "p_type", F.lit(" ")), F.lit(""), "p_brand", "p_name"), r"\|")
+    return table(spark, sf_dir, "part").select("p_partkey", J.clean_tags(raw).alias("tags"))
+
+
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts use each cleaned tag, over all parts."""
+    return part_tags(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("used"))
+
+
+PART_TAGS_SQL = """with t as (select p_partkey, list_distinct(list_slice(list_filter(list_transform(string_split(concat_ws('|', p_brand, ' ' || p_type || ' ', '', p_brand, p_name), '|'), lambda x: lower(trim(x))), lambda x: length(x) between 1 and 50), 1, 20)) as tags from part)"""
+TAG_COUNT_SQL = f"{PART_TAGS_SQL} select tag, count(*) as used from (select unnest(tags) as tag from t) group by tag"
+
+
+def tagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that carry one of two tags."""
+    return part_tags(spark, sf_dir).where(J.has_any(F.col("tags"), ["Brand#12", " Brand#23 "])).select("p_partkey", F.size("tags").cast("long").alias("n"))
+
+
+TAGGED_SQL = f"{PART_TAGS_SQL} select p_partkey, len(tags)::bigint as n from t where list_has_any(tags, ['brand#12', 'brand#23'])"
+
+
 def normalised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document of each text, case and white space apart."""
     docs = table(spark, sf_dir, "documents").select("doc_id", J.text_key(F.col("text")).alias("key"))
@@ -281,6 +303,8 @@ QUERIES = {
     "top_referrers": (top_referrers, TOP_REFERRER_SQL),
     "library_page": (library_page, LIBRARY_SQL),
     "tag_list": (tag_list, TAG_SQL),
+    "tag_counts": (tag_counts, TAG_COUNT_SQL),
+    "tagged_parts": (tagged_parts, TAGGED_SQL),
     "normalised_dedup": (normalised_dedup, DEDUP_SQL),
     "section_dedup": (section_dedup, SECTION_DEDUP_SQL),
     "similar_requirements": (similar_requirements, SIMILAR_SQL),

@@ -37,3 +37,16 @@ def test_query(name, spark, duck):
     want = duck.sql(sql)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.toPandas()) == rows(want.df())
+
+
+def test_tags(spark, tmp_path):
+    from reqloom.operators import relational as J
+
+    parts = [(1, "Brand#1", "T", "a"), (3, "Brand#12", "T", "b"), (6, "Brand#23", "T", "c"), (7, "Brand#2", "T", "d")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    used = {r.tag: r.used for r in QUERIES["tag_counts"][0](spark, str(tmp_path)).collect()}
+    assert used["t"] == 4 and used["brand#12"] == 1
+    assert {r.p_partkey for r in QUERIES["tagged_parts"][0](spark, str(tmp_path)).collect()} == {3, 6}
+    rows = spark.createDataFrame([(["a", "b"],), (["c"],), ([],), (None,)], "tags array<string>")
+    assert [r[0] for r in rows.select(J.has_any(rows.tags, [" B ", "x"])).collect()] == [True, False, False, False]
+    assert not any(r[0] for r in rows.select(J.has_any(rows.tags, [])).collect())
