@@ -90,6 +90,11 @@ def has_any(tags: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.arrays_overlap(tags, clean_tags(F.array(*[F.lit(w) for w in wanted]).cast("array<string>"))), F.lit(False))
 
 
+def json_equals(json: Column, path: str, value: str) -> Column:
+    """Whether the JSON value at a path is the given text; false where it is absent or null."""
+    return F.coalesce(F.get_json_object(json, path) == value, F.lit(False))
+
+
 def change_history(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Versions: the former value at each change, newest first (version 1). No version where there was no former value."""
     w = Window.partitionBy(key).orderBy(*order)

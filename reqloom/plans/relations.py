@@ -206,7 +206,7 @@ select o_orderkey, days, case when due is distinct from last then coalesce(due,
 
 
 def json_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by a value inside their JSON details."""
+    """How many keys the JSON details of each event have, and the first; events_by_detail compares a value."""
     keyed = events(spark, sf_dir).select("event_id", F.json_object_keys("props").alias("keys"), "props")
     first = F.get("keys", 0)
     return keyed.select("event_id", F.size("keys").cast("long").alias("n"), first.alias("first_key"))
@@ -215,6 +215,14 @@ def json_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_SQL = "select event_id, len(json_keys(props))::bigint as n, json_keys(props)[1] as first_key from events"
 
 
+def events_by_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by a value inside their JSON details."""
+    return events(spark, sf_dir).where(J.json_equals(F.col("props"), "$.k", "87")).select("event_id", "event_type")
+
+
+DETAIL_SQL = "select event_id, event_type from events where json_extract_string(props, '$.k') = '87'"
+
+
 def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sliding_limit(events(spark, sf_dir), "user_id", "ts", 86_400, 3).select("event_id", "user_id", "in_window", "allowed")
 
@@ -315,6 +323,7 @@ QUERIES = {
     "expired_update": (expired_update, EXPIRED_SQL),
     "deadline_window": (deadline_window, WINDOW_SQL),
     "json_details": (json_details, JSON_SQL),
+    "events_by_detail": (events_by_detail, DETAIL_SQL),
     "sliding_rate": (sliding_rate, SLIDING_SQL),
     "fixed_rate": (fixed_rate, None),
     "idempotent_events": (idempotent_events, IDEMPOTENT_SQL),

@@ -50,3 +50,11 @@ def test_tags(spark, tmp_path):
     rows = spark.createDataFrame([(["a", "b"],), (["c"],), ([],), (None,)], "tags array<string>")
     assert [r[0] for r in rows.select(J.has_any(rows.tags, [" B ", "x"])).collect()] == [True, False, False, False]
     assert not any(r[0] for r in rows.select(J.has_any(rows.tags, [])).collect())
+
+
+def test_json_equality(spark):
+    from reqloom.operators import relational as J
+
+    rows = spark.createDataFrame([('{"k": {"action": "grant"}}',), ('{"k": {"action": "revoke"}}',), ('{"k": null}',), ("no json",), (None,)], "props string")
+    assert [r[0] for r in rows.select(J.json_equals(rows.props, "$.k.action", "grant")).collect()] == [True, False, False, False, False]
+    assert QUERIES["events_by_detail"][0](spark, SF).count() > 0
