@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """Of each group of near copies (similarity 0.8 or more) the document with the smallest id stays."""
+    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -77,3 +77,13 @@ def test_packing_and_run(stages, spark):
     key = lambda rs: sorted((str(r.doc_id), r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in rs)
     assert key(corpus_pipeline.run(spark, where).collect()) == key(packed)
     assert np.all([len(r.tokens) == 4 * r.length for r in packed])
+
+
+def test_near_dedup_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    common = [f"c{i}" for i in range(1004)]
+    rows = [(i, " ".join(common + [f"o{i}x{k}" for k in range(own)])) for i, own in enumerate((100, 100))]  # 1000 / 1200
+    rows.append((2, " ".join(common[:500] + [f"p{k}" for k in range(600)])))
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
