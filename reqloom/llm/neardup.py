@@ -7,23 +7,31 @@
 3. Candidates are stars, not pairs: the members of a bucket are tied to its centre, the member that shares most with others
    over all its buckets (in a group of copies, the text they were made from). A bucket of n gives at most n - 1 edges.
 4. Edges are confirmed on the full shingle sets, and components of confirmed links are found by star contraction.
-5. Where a bucket still holds several components, its foremost member outside the components of its former centres becomes
-   its next centre, tied to the members of other components. Rounds go on until one joins nothing.
+5. Where a bucket still holds several components, each member becomes a centre in its turn, and is tied to the members of
+   other components. Turns come by random level: the fewest members have the highest, BASE times as many the next, and
+   components are joined between levels. So a group of m copies is joined by its first centre or centres and costs about
+   BASE * m edges, not m * m; and at the end every two members of a bucket in different components have met.
+6. Before a text is fetched, the three lowest bits of all bins are compared, where the two meet: a pair that agrees in so
+   few that no pair of the sought similarity does (missed with probability under 1e-8) gives no edge.
 
 A link of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1e-7 at 0.85 with 50 bands of 8.
 
 Texts without words have an empty set and are linked with nothing. Rows that share an id are one document. Rows without
-id take part in nothing: component null, kept true. Repeated rows get equal results. Empty tables give empty results.
+id take part in nothing: component null, kept true. Repeated rows get equal results. Whole texts count, however long. Of
+docs only id and text are read, so other columns may have any names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqloom.llm.common import table, written
@@ -31,7 +39,10 @@ from reqloom.llm.common import table, written
 WIDTH = 5
 BANDS, ROWS = 50, 8
 BINS = BANDS * ROWS
-STAR = 256  # members that are confirmed against one copy of the centre's text
+PLANES = 3  # lowest bits of a bin that the sketch holds
+LONGS = -(-BINS // 64)  # of 64 bits in a plane
+BASE = 16  # members of one level for each of the next
+STAR = 64  # members that are confirmed against one copy of the centre's text
 SALTS = 16
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,6 +125,26 @@ def bucket_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """PLANES * LONGS numbers a row: the lowest bits of all bins, plane by plane."""
+    out = np.zeros((len(sig), PLANES, LONGS * 64), dtype=np.uint8)
+    for k in range(PLANES):
+        out[:, k, :BINS] = (sig >> np.uint64(k)) & np.uint64(1)
+    return np.packbits(out.reshape(len(sig), -1), axis=1, bitorder="little").view("<i8")
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many bins two sketches differ."""
+    unlike = lambda at: F.col(a)[at].bitwiseXOR(F.col(b)[at])
+    return reduce(add, [F.bit_count(reduce(Column.bitwiseOR, [unlike(k * LONGS + i) for k in range(PLANES)])) for i in range(LONGS)])
+
+
+def most_differing(percent: int) -> int:
+    """Most bins in which sketches of sets of that similarity differ: nine binomial deviations off the mean (six as measured, densified bins vary more)."""
+    agree = percent / 100 + (1 - percent / 100) / 2**PLANES
+    return math.ceil(BINS * (1 - agree) + 9 * math.sqrt(BINS * agree * (1 - agree)))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -121,19 +152,21 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle_set(x) for x in part.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = np.zeros((len(sets), BANDS), dtype=np.int64)
-            keys[full] = bucket_keys(signatures([sets[i] for i in full])).view(np.int64)
+            bits = np.zeros((len(sets), PLANES * LONGS), dtype=np.int64)
+            sig = signatures([sets[i] for i in full])
+            keys[full], bits[full] = bucket_keys(sig).view(np.int64), sketches(sig)
             sums = [(int(s.sum(dtype=np.uint64)), int(mixed(s + _MULTIPLY).sum(dtype=np.uint64))) for s in sets]
             signed = lambda k: pa.array(np.array([x[k] for x in sums], dtype=np.uint64).view(np.int64))
-            offsets = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(0), signed(1), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=["doc_id", "n", "s1", "s2", "buckets"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(0), signed(1), lists(keys), lists(bits)],
+                names=["doc_id", "n", "s1", "s2", "buckets", "sketch"],
             )
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), s1 and s2 (its 128-bit hash), buckets."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, n long, s1 long, s2 long, buckets array<long>")
+    """doc_id, n (size of the shingle set), s1 and s2 (its 128-bit hash), buckets, sketch."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, n long, s1 long, s2 long, buckets array<long>, sketch array<long>")
 
 
 def _confirm(rows: pa.Table, percent: int) -> pa.Table:
@@ -180,21 +213,42 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small, "stars")
 
 
-def open_pairs(rows: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """(centre, member) of all pairs of a bucket in different components whose sizes allow a link, without the tested ones. rows: bucket, node, n, component.
+def level_of(node: str, top: int) -> Column:
+    """A level from 0 to top by hash: about one node in BASE ** k has level k or more."""
+    chance = F.pmod(F.xxhash64(F.lit(11), node), F.lit(1 << 30)) / (1 << 30)
+    return reduce(add, [(chance < BASE**-k).cast("int") for k in range(1, top + 1)], F.lit(0))
+
 
-    Members outside a bucket's largest component meet all members, so those inside it never meet each other.
+def level_pairs(held: DataFrame, level: int, percent: int) -> DataFrame:
+    """(centre, member): pairs of a bucket in different components, the higher of whose levels is the given one, that sizes and sketches allow.
+
+    held: bucket, node, n, level, component, main (the bucket's largest component), star (its centre, which has met all), sketch.
+    One of a pair is outside the main component, so members inside it never meet each other.
     """
-    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
-    mixed_ = sizes.groupBy("bucket").agg(F.max(F.struct("held", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    held = written(rows.join(mixed_.select("bucket", "main"), "bucket"), "mixed")
-    a, b = held.where("component <> main").alias("a"), held.alias("b")
+    other = F.col("a.component") != F.col("b.component")
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & fits & once)
-    pairs = met.select(F.least("a.node", "b.node").alias("centre"), F.greatest("a.node", "b.node").alias("member")).distinct()
-    done = tested.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member")).distinct()
-    return pairs.join(done, ["centre", "member"], "left_anti")
+    alike = differing("a.sketch", "b.sketch") <= most_differing(percent)
+    met = lambda a, b, more: a.alias("a").join(b.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & other & fits & more & alike)
+    rows = held.where((F.col("level") <= level) & (F.col("node") != F.col("star")))
+    outside, inside, now = F.col("component") != F.col("main"), F.col("component") == F.col("main"), F.col("level") == level
+    once = (F.col("b.component") == F.col("b.main")) | (F.col("b.level") < level) | (F.col("a.node") < F.col("b.node"))
+    pairs = met(rows.where(outside & now), rows, once).select(F.col("a.node").alias("centre"), F.col("b.node").alias("member"))
+    more = met(rows.where(inside & now), rows.where(outside & ~now), F.lit(True)).select(F.col("a.node").alias("centre"), F.col("b.node").alias("member"))
+    return pairs.unionByName(more).distinct()
+
+
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """found (node, component) after more links (a, b): only the components that the links name are joined anew."""
+    if found is None:
+        return written(components(links), "components")
+    named = links
+    for end in ("a", "b"):
+        names = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        named = named.join(names, end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    anew = written(components(named).select(F.col("node").alias("component"), F.col("component").alias("least")), "components")
+    kept = found.join(anew, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    alone = anew.select(F.col("component").alias("node"), F.col("least").alias("component")).join(found, "node", "left_anti")
+    return written(kept.unionByName(alone), "components")
 
 
 def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -203,33 +257,35 @@ def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     held = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = written(bands.join(held, "bucket"), "shared")
     weights = shared.groupBy("node").agg(F.sum("held").alias("weight"))
-    members = written(shared.join(weights, "node").select("bucket", "node", "n", "weight"), "members")
+    members = written(shared.join(weights, "node").select("bucket", "node", "n", "held", "weight"), "members")
     texts = written(docs.join(weights.select("node"), F.col("doc_id") == F.col("node"), "left_semi"), "texts")
-    links, found, centres_so_far, tested = None, None, None, None
-    while True:
-        if found is None:
-            rows = members.withColumn("component", F.col("node"))
-            open_ = rows
-        else:
-            rows = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            former = centres_so_far.join(found.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("component", "centre").alias("component")).distinct()
-            open_ = rows.join(former, ["bucket", "component"], "left_anti")
-        foremost = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("centre_n"), F.col("component").alias("of"))).alias("c"))
-        centres = written(foremost.select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.centre_n").alias("centre_n"), F.col("c.of").alias("of")), "centres")
-        fits = (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")) & (F.col("component") != F.col("of")) & (F.col("node") != F.col("centre"))
-        edges = written(rows.join(centres, "bucket").where(fits).select("centre", F.col("node").alias("member")).distinct(), "edges")
-        fresh = written(confirm(edges, texts, percent), "links")
-        tested = edges if tested is None else tested.unionByName(edges)
-        if fresh.isEmpty():
-            break
-        links = fresh if links is None else links.unionByName(fresh)
-        found = written(components(links), "components")
-        centres_so_far = centres.select("bucket", "centre") if centres_so_far is None else centres_so_far.unionByName(centres.select("bucket", "centre"))
-    pairs = written(open_pairs(rows.select("bucket", "node", "n", "component"), tested, percent), "pairs")
-    fresh = written(confirm(pairs, texts, percent), "links")
-    if fresh.isEmpty():
-        return found
-    return written(components(fresh if links is None else links.unionByName(fresh)), "components")
+    foremost = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("centre_n"))).alias("c"))
+    centres = written(foremost.select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.centre_n").alias("centre_n")), "centres")
+    fits = (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")) & (F.col("node") != F.col("centre"))
+    edges = written(members.join(centres, "bucket").where(fits).select("centre", F.col("node").alias("member")).distinct(), "edges")
+    fresh = written(confirm(edges, texts, percent), "links")
+    found = None if fresh.isEmpty() else joined(None, fresh)
+    several, level = None, None
+    while level is None or level >= 0:
+        of = members if several is None else several
+        rows = of.withColumn("component", F.col("node")) if found is None else of.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("inside"))
+        mains = sizes.groupBy("bucket").agg(F.max(F.struct("inside", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("bucket", "main")
+        if several is None:  # from here on only the buckets of several components, with sketches and levels
+            rows = rows.join(mains.select("bucket"), "bucket").join(centres.select("bucket", F.col("centre").alias("star")), "bucket")
+            largest = rows.agg(F.max("held")).first()[0]
+            if largest is None:
+                return found
+            level = math.ceil(math.log(largest, BASE))
+            several = written(rows.join(sets.select("node", "sketch"), "node").select("bucket", "node", "n", "star", "sketch", level_of("node", level).alias("level")), "several")
+            continue
+        pairs = written(level_pairs(rows.join(mains, "bucket"), level, percent), "pairs")
+        level -= 1
+        if not pairs.isEmpty():
+            fresh = written(confirm(pairs, texts, percent), "links")
+            if not fresh.isEmpty():
+                found = joined(found, fresh)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,8 +293,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_: str = "doc_id", tex
     docs = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = written(describe(docs), "described")
     linkable = described.where("n > 0 and doc_id is not null")
-    sets = written(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.first("buckets").alias("buckets")), "sets")
-    found = _links(sets.select("node", "n", "buckets"), docs, percent)
+    sets = written(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")), "sets")
+    found = _links(sets.select("node", "n", "buckets", "sketch"), docs, percent)
     several = linkable.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("doc_id")
     if not several.isEmpty():  # rows of one id with different texts join their sets
         names = written(linkable.join(several, "doc_id").join(sets.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node").distinct(), "names")

@@ -564,6 +564,54 @@ def test_near_duplicates_behind_unlinked_centres(spark):
     assert (61, 1085, 60, False) in got
 
 
+def test_near_duplicates_between_clusters(spark):
+    # Ten clusters of eight, each a text without one tenth, and two texts that link with each other only (0.8545; 0.8293 at most with the rest).
+    rng = random.Random(4)
+    base = [f"s{rng.randrange(10**9)}" for _ in range(3000)]
+    rows = []
+    for i in range(10):
+        cut = base[: 300 * i] + base[300 * (i + 1) :]
+        rows += [(8 * i + j, " ".join(cut[: len(cut) - j])) for j in range(8)]
+    rows += [(80 + k, " ".join(base + [f"o{k}x{rng.randrange(10**9)}" for _ in range(255)])) for k in range(2)]
+    got = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(plain_components(rows))
+    assert {r[2] for r in got if r[0] >= 80} == {80}
+
+
+def test_near_duplicates_of_templates(spark):
+    rng = random.Random(14)
+    template = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.012 * (1 + i % 4) else f"u{rng.randrange(10**6)}" for w in template)) for i in range(150)]
+    got = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()]
+    assert sorted(got) == sorted(plain_components(rows))
+    assert 1 < len({r[2] for r in got}) < 150
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(15)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(650_000)]
+    long = " ".join(words)
+    words[1000] = "another"
+    rows = [(1, long), (2, " ".join(words)), (3, long), (4, long[: len(long) // 2]), (5, "short")]
+    assert len(long) > 4_500_000
+    got = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as node", "2 as sketch")).collect()]
+    assert sorted((i, c) for i, _, c, _ in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+
+
+def test_sketches_spare_what_is_alike():
+    rng = np.random.default_rng(3)
+    least, far = [], []
+    for union in (14, 40, 200, 1000):
+        for _ in range(200):
+            x = rng.integers(0, 2**63, union, dtype=np.uint64)
+            own = union * 15 // 100
+            for sets, out in (([x[: union - own], x], least), ([x[: union // 2], x], far)):
+                a, b = neardup.sketches(neardup.signatures([np.sort(s) for s in sets])).view(np.uint64).reshape(2, neardup.PLANES, -1)
+                out.append(int(np.bitwise_count(np.bitwise_or.reduce(a ^ b)).sum()))
+    assert max(least) < neardup.most_differing(85) - 10
+    assert min(far) > neardup.most_differing(85)
+
+
 def test_densification_keeps_similarity():
     rng = np.random.default_rng(0)
     errors = []
