@@ -11,8 +11,10 @@
    other components. Turns come by random level: the fewest members have the highest, BASE times as many the next, and
    components are joined between levels. So a group of m copies is joined by its first centre or centres and costs about
    BASE * m edges, not m * m; and at the end every two members of a bucket in different components have met.
-6. Before a text is fetched, the three lowest bits of all bins are compared, where the two meet: a pair that agrees in so
-   few that no pair of the sought similarity does (missed with probability under 1e-8) gives no edge.
+6. Before texts are fetched, two sketches are compared where the members meet. The parity sketch has one bit for each of
+   PARITY places, the parity of the set's shingles there: two sketches differ in no more bits than the sets have shingles
+   apart. The other holds the lowest bits of all bins, for sets too large for the first. Pairs that differ more than pairs
+   of the sought similarity ever do give no edge; one that should is lost with probability under 1e-8.
 
 A link of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1e-7 at 0.85 with 50 bands of 8.
 
@@ -41,6 +43,7 @@ BANDS, ROWS = 50, 8
 BINS = BANDS * ROWS
 PLANES = 3  # lowest bits of a bin that the sketch holds
 LONGS = -(-BINS // 64)  # of 64 bits in a plane
+PARITY = 1024  # bits of the parity sketch
 BASE = 16  # members of one level for each of the next
 STAR = 64  # members that are confirmed against one copy of the centre's text
 SALTS = 16
@@ -133,14 +136,26 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(out.reshape(len(sig), -1), axis=1, bitorder="little").view("<i8")
 
 
-def differing(a: str, b: str) -> Column:
-    """In how many bins two sketches differ."""
-    unlike = lambda at: F.col(a)[at].bitwiseXOR(F.col(b)[at])
-    return reduce(add, [F.bit_count(reduce(Column.bitwiseOR, [unlike(k * LONGS + i) for k in range(PLANES)])) for i in range(LONGS)])
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """PARITY // 64 numbers a row: of each place the parity of the set's shingles there."""
+    place = np.concatenate([np.zeros(0, np.int64), *[(s & np.uint64(PARITY - 1)).astype(np.int64) + i * PARITY for i, s in enumerate(sets)]])
+    odd = (np.bincount(place, minlength=len(sets) * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), PARITY), axis=1, bitorder="little").view("<i8")
+
+
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether sketches allow that similarity. a, b: rows with n and sketch (first the bins' planes, then the parities)."""
+    unlike = lambda at: F.col(f"{a}.sketch")[at].bitwiseXOR(F.col(f"{b}.sketch")[at])
+    bins = reduce(add, [F.bit_count(reduce(Column.bitwiseOR, [unlike(k * LONGS + i) for k in range(PLANES)])) for i in range(LONGS)])
+    bits = reduce(add, [F.bit_count(unlike(PLANES * LONGS + i)) for i in range(PARITY // 64)])
+    apart = F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent) / (100 + percent))  # shingles in one of the sets only, at most
+    odd = (1 - F.exp(apart * (-2 / PARITY))) / 2
+    usual = odd * PARITY + 7 * F.sqrt(odd * (1 - odd) * PARITY)  # above the mean by seven deviations
+    return (bits <= apart) & (bits <= usual) & (bins <= most_differing(percent))
 
 
 def most_differing(percent: int) -> int:
-    """Most bins in which sketches of sets of that similarity differ: nine binomial deviations off the mean (six as measured, densified bins vary more)."""
+    """Most bins that differ at that similarity: nine binomial deviations off the mean (six as measured, as densified bins vary more)."""
     agree = percent / 100 + (1 - percent / 100) / 2**PLANES
     return math.ceil(BINS * (1 - agree) + 9 * math.sqrt(BINS * agree * (1 - agree)))
 
@@ -152,14 +167,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle_set(x) for x in part.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = np.zeros((len(sets), BANDS), dtype=np.int64)
-            bits = np.zeros((len(sets), PLANES * LONGS), dtype=np.int64)
             sig = signatures([sets[i] for i in full])
-            keys[full], bits[full] = bucket_keys(sig).view(np.int64), sketches(sig)
+            bins = np.zeros((len(sets), PLANES * LONGS), dtype=np.int64)
+            keys[full], bins[full] = bucket_keys(sig).view(np.int64), sketches(sig)
             sums = [(int(s.sum(dtype=np.uint64)), int(mixed(s + _MULTIPLY).sum(dtype=np.uint64))) for s in sets]
             signed = lambda k: pa.array(np.array([x[k] for x in sums], dtype=np.uint64).view(np.int64))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(0), signed(1), lists(keys), lists(bits)],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(0), signed(1), lists(keys), lists(np.hstack([bins, parities(sets)]))],
                 names=["doc_id", "n", "s1", "s2", "buckets", "sketch"],
             )
 
@@ -227,8 +242,7 @@ def level_pairs(held: DataFrame, level: int, percent: int) -> DataFrame:
     """
     other = F.col("a.component") != F.col("b.component")
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    alike = differing("a.sketch", "b.sketch") <= most_differing(percent)
-    met = lambda a, b, more: a.alias("a").join(b.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & other & fits & more & alike)
+    met = lambda a, b, more: a.alias("a").join(b.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & other & fits & more & alike("a", "b", percent))
     rows = held.where((F.col("level") <= level) & (F.col("node") != F.col("star")))
     outside, inside, now = F.col("component") != F.col("main"), F.col("component") == F.col("main"), F.col("level") == level
     once = (F.col("b.component") == F.col("b.main")) | (F.col("b.level") < level) | (F.col("a.node") < F.col("b.node"))

@@ -598,18 +598,23 @@ def test_near_duplicates_of_long_texts(spark):
     assert sorted((i, c) for i, _, c, _ in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
 
 
-def test_sketches_spare_what_is_alike():
+def test_sketches_spare_what_is_alike(spark):
     rng = np.random.default_rng(3)
-    least, far = [], []
-    for union in (14, 40, 200, 1000):
-        for _ in range(200):
+    rows = []
+    for union in (7, 14, 40, 200, 1000, 4000, 20000):
+        for _ in range(60 if union < 4000 else 12):
             x = rng.integers(0, 2**63, union, dtype=np.uint64)
-            own = union * 15 // 100
-            for sets, out in (([x[: union - own], x], least), ([x[: union // 2], x], far)):
-                a, b = neardup.sketches(neardup.signatures([np.sort(s) for s in sets])).view(np.uint64).reshape(2, neardup.PLANES, -1)
-                out.append(int(np.bitwise_count(np.bitwise_or.reduce(a ^ b)).sum()))
-    assert max(least) < neardup.most_differing(85) - 10
-    assert min(far) > neardup.most_differing(85)
+            for own in (union * 15 // 100, union // 2):
+                k = int(rng.integers(0, own + 1))
+                a, b = np.sort(x[: union - k]), np.sort(np.concatenate([x[: union - own], x[union - k :]]))
+                sketch = np.hstack([neardup.sketches(neardup.signatures([a, b])), neardup.parities([a, b])]).tolist()
+                apart = int(np.bitwise_count((np.array(sketch[0][-16:]) ^ np.array(sketch[1][-16:])).view(np.uint64)).sum())
+                assert apart <= own
+                rows.append((own == union * 15 // 100, union, len(a), sketch[0], len(b), sketch[1]))
+    pairs = spark.createDataFrame(rows, "near boolean, u int, na int, sa array<long>, nb int, sb array<long>").selectExpr("near", "u", "struct(na as n, sa as sketch) as a", "struct(nb as n, sb as sketch) as b")
+    got = {(r.near, r.u, r.alike): r["count"] for r in pairs.select("near", "u", neardup.alike("a", "b", 85).alias("alike")).groupBy("near", "u", "alike").count().collect()}
+    assert not [k for k in got if k[0] and not k[2]]
+    assert sum(n for k, n in got.items() if not k[0] and k[2]) < 10, got
 
 
 def test_densification_keeps_similarity():
