@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine, and an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set, and driver and executors need a folder that they share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="reqloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

@@ -2,16 +2,18 @@
 
 Documents are dealt into buckets by their id. A bucket sends each shard one packet: the distinct 128-bit hashes of its
 lines' keys that fall to that shard, with the smallest and largest document holding each and the number of holders. A very
-common line is thus one entry a bucket, however many documents hold it. A shard merges its packets, keeps the hashes
-that two documents or more hold, builds a minimal perfect hash over them (levels of bit arrays; a hash that is alone at
-its place of a level is placed there, the others go on to the next level), and stores at each hash's number a
-fingerprint, the count of holders, and the smallest holder. The buckets' packets then probe these arrays: a hash without a place, or whose
-fingerprint differs, is no repeated line. The answers go back to the buckets, which cut their documents. Lines
+common line is thus one entry a bucket, however many documents hold it. A shard merges its packets, builds a minimal
+perfect hash over all its distinct hashes (levels of bit arrays; a hash that is alone at its place of a level is placed
+there, the others go on to the next level), and stores at each hash's number a fingerprint, the count of documents that
+hold it, and the smallest of them. The buckets' packets then probe these arrays: a hash without a place, whose fingerprint
+differs, or whose count is one is no repeated line. The answers go back to the buckets, which cut their documents. Lines
 themselves are never joined, and no text leaves its bucket.
 
 Null and empty texts have one empty line. Lines with keys under MIN_CHARS code points always stay. Rows with the same
-doc_id are one document; a null doc_id counts as the largest of all ids. Repeats of a key within its smallest document stay.
-An empty table gives an empty result. Extra columns travel along unchanged.
+doc_id are one document. Rows with a null doc_id are one document too, behind all others; as they count as id 2**63 - 1,
+a row of that id is of the same document. They are dealt by text, so they need not fit in one bucket. Repeats of a key within
+its smallest document stay. Texts are cut whole, however long. An empty table gives an empty result. Extra columns travel
+along unchanged; those named n_lines or n_dropped give way to the new ones.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from pyspark.sql import types as T
 from reqloom.llm.common import WHITE, table
 
 MIN_CHARS = 10
-SHARD_BYTES = 32 << 20  # text behind one shard, on average
+SHARD_BYTES = 32 << 20  # text behind one shard, on average, in tables up to SHARD_BYTES * MANY; from there shards grow with the root of the table
+MANY = 1 << 12
 BUCKET_BYTES = 8 << 20  # text in one bucket, on average
 LEAST = 64  # buckets and shards
 NO_ID = np.iinfo(np.int64).max
-ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("least", "<i8"), ("most", "<i8"), ("n", "<i8")])
+ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("least", "<i8"), ("n", "<i8")])
 ANSWER = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("owner", "<i8")])
 GAMMA = 2.0
 
@@ -94,7 +97,7 @@ def _merged(entries: np.ndarray) -> np.ndarray:
     e = entries[np.lexsort((entries["h2"], entries["h1"]))]
     start = np.flatnonzero(np.concatenate(([True], (e["h1"][1:] != e["h1"][:-1]) | (e["h2"][1:] != e["h2"][:-1]))))
     out = e[start].copy()
-    out["least"], out["most"], out["n"] = np.minimum.reduceat(e["least"], start), np.maximum.reduceat(e["most"], start), np.add.reduceat(e["n"], start)
+    out["least"], out["n"] = np.minimum.reduceat(e["least"], start), np.add.reduceat(e["n"], start)
     return out
 
 
@@ -106,8 +109,8 @@ def _packets(docs: pa.Table, shards: int) -> pa.Table:
         ids += [NO_ID if doc_id is None else doc_id] * len(found)
     entries = np.zeros(len(ids), dtype=ENTRY)
     raw = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
-    entries["h1"], entries["h2"], entries["least"], entries["most"], entries["n"] = raw[:, 0], raw[:, 1], ids, ids, 1
-    entries = _merged(entries)
+    entries["h1"], entries["h2"], entries["least"], entries["n"] = raw[:, 0], raw[:, 1], ids, 1
+    entries = _merged(np.unique(entries))  # unique: rows of one document count once
     shard = (entries["h1"] % np.uint64(shards)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     entries, names = entries[order], np.unique(shard)
@@ -119,7 +122,6 @@ def _packets(docs: pa.Table, shards: int) -> pa.Table:
 
 def _index(packets: pa.Table) -> pa.Table:
     e = _merged(np.concatenate([np.frombuffer(p, dtype=ENTRY) for p in packets.column("packed").to_pylist()]))
-    e = e[e["least"] != e["most"]]
     perfect = PerfectHash.build(e["h1"], e["h2"])
     at = perfect.number(e["h1"], e["h2"])
     e = e[np.argsort(at)]
@@ -131,12 +133,12 @@ def _probe(index: pa.Table, packets: pa.Table) -> pa.Table:
     buckets, answers = [], []
     if index.num_rows:
         read = lambda c, t: np.frombuffer(index.column(c)[0].as_py(), dtype=t)
-        perfect, prints, owners = PerfectHash(read("sizes", "<i8"), read("words", "<u8")), read("fingerprints", "<u8"), read("owners", "<i8")
+        perfect, prints, counts, owners = PerfectHash(read("sizes", "<i8"), read("words", "<u8")), read("fingerprints", "<u8"), read("counts", "<i8"), read("owners", "<i8")
         for bucket, packed in zip(packets.column("bucket").to_pylist(), packets.column("packed").to_pylist(), strict=True):
             e = np.frombuffer(packed, dtype=ENTRY)
             at = perfect.number(e["h1"], e["h2"])
             held = np.flatnonzero(at >= 0)
-            held = held[prints[at[held]] == e["h2"][held]]
+            held = held[(prints[at[held]] == e["h2"][held]) & (counts[at[held]] > 1)]
             if len(held):
                 out = np.zeros(len(held), dtype=ANSWER)
                 out["h1"], out["h2"], out["owner"] = e["h1"][held], e["h2"][held], owners[at[held]]
@@ -166,10 +168,11 @@ def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def dedup_lines(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """df with text cut, and n_lines (before) and n_dropped; columns of these names give way."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards, buckets = max(LEAST, math.ceil(total / SHARD_BYTES)), max(LEAST, math.ceil(total / BUCKET_BYTES))
+    buckets = max(LEAST, math.ceil(total / BUCKET_BYTES))
+    shards = max(LEAST, min(math.ceil(total / SHARD_BYTES), math.ceil(math.sqrt(total / SHARD_BYTES * MANY))))
     carry = [c for c in df.columns if c not in (text, "n_lines", "n_dropped")]
     ident = F.col(id_).cast("long")
-    dealt = df.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], ident.alias("__id"), F.col(text).alias("__text"), F.pmod(F.xxhash64(ident), F.lit(buckets)).cast("int").alias("__bucket"))
+    dealt = df.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], ident.alias("__id"), F.col(text).alias("__text"), F.pmod(F.xxhash64(F.coalesce(ident.cast("string"), text)), F.lit(buckets)).cast("int").alias("__bucket"))
     packets = dealt.groupBy("__bucket").applyInArrow(lambda docs: _packets(docs, shards), "bucket int, shard int, packed binary")
     index = packets.groupBy("shard").applyInArrow(_index, "shard int, sizes binary, words binary, fingerprints binary, counts binary, owners binary")
     answers = index.groupBy("shard").cogroup(packets.groupBy("shard")).applyInArrow(_probe, "bucket int, answer binary")

@@ -7,16 +7,21 @@ Fitting: a source's documents are counted by exact length. Whole copies of the s
 them. What remains is split over the lengths in proportion to their counts (so the mix keeps the source's shape), then
 filled by one more document of a length from the longest down, and the last gap is closed by bounded-knapsack dynamic
 programming over the lengths' remaining counts, as near to it from below as sums of lengths come. If that leaves a gap,
-one longer document is added and the programme takes back what is then too much, where that comes nearer. Last, of each length as
+one longer document is added and the programme takes back what is then too much, where that comes nearer. However the
+budget was filled before, the last programme finds the largest sum within what is left, so a source's miss is smaller than
+its shortest document of which one more could be taken. Last, of each length as
 many documents are selected as were counted, by a seeded hash; a length that many documents share is dealt over salts,
 whose counts say how many each gives, so no length has to fit in one task.
 
 Null text has size 0; a source of nothing but such documents has target 0. Null sources form one source. Repeated rows
-are documents of their own. An empty table gives an empty result.
+are documents of their own, and ties go by all of a row's columns. Whole texts are counted, however long. Extra columns
+travel along; those named source_size, target or times give way to the new ones. An empty table gives an empty result.
+One number a source reaches the driver, where targets are set in order of how soon they stop.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -33,20 +38,17 @@ PLAN = "__source string, __size long, __copies long, __more long, source_size lo
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
-    """Shares of the budget by weight, none above most times its size."""
-    out, open_ = [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i] > 0]
-    left = budget
-    while open_:
-        rate = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if rate * weights[i] > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = rate * weights[i]
+    """Shares of the budget by weight, none above most times its size. Sources stop in order of size by weight, so one pass over that order does."""
+    out, left, weight = [0.0] * len(sizes), budget, math.fsum(w for w, s in zip(weights, sizes, strict=True) if s > 0)
+    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: sizes[i] / weights[i])
+    for k, i in enumerate(order):
+        if left / weight * weights[i] <= most * sizes[i]:
+            for j in order[k:]:
+                out[j] = left / weight * weights[j]
             break
-        for i in over:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
+        out[i] = most * sizes[i]
+        left -= out[i]
+        weight -= weights[i]
     return out
 
 
@@ -133,9 +135,10 @@ def _fit_source(part: pd.DataFrame) -> pd.DataFrame:
 def mix(df: DataFrame, size: str, source: str = "source", weights: tuple = WEIGHTS, budget_share: float = 1.5, most: float = 2.0, seed: int = 77, identity: list[str] | None = None) -> DataFrame:
     """df with source_size, target (of its source) and times (how often the mix takes the row). identity: columns that tell rows apart."""
     spark = df.sparkSession
-    identity = identity or df.columns
+    names = [c for c in df.columns if c not in ("source_size", "target", "times")]
+    identity = identity or names
     docs = df.select(
-        *[F.col(c).alias(f"c_{i}") for i, c in enumerate(df.columns)],
+        *[F.col(c).alias(f"c_{i}") for i, c in enumerate(names)],
         F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("__source"),
         F.col(size).cast("long").alias("__size"),
         F.xxhash64(F.lit(seed), *identity).alias("__key"),
@@ -151,11 +154,11 @@ def mix(df: DataFrame, size: str, source: str = "source", weights: tuple = WEIGH
     before = Window.partitionBy("__source", "__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     quota = salted.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(plan, ["__source", "__size"])
     quota = quota.select("__source", "__size", "__salt", "__copies", "source_size", "target", F.least("__n", F.greatest(F.lit(0), F.abs("__more") - F.col("__before"))).alias("__quota"), F.signum("__more").cast("long").alias("__step"))
-    ties = [f"c_{df.columns.index(c)}" for c in identity]
+    ties = [F.col(f"c_{names.index(c)}") for c in identity] + [F.xxhash64(*[f"c_{i}" for i, c in enumerate(names) if "map<" not in df.schema[c].dataType.simpleString()])]
     place = F.row_number().over(Window.partitionBy("__source", "__size", "__salt").orderBy("__key", *ties))
     timed = docs.withColumn("__place", place).join(quota, ["__source", "__size", "__salt"])
     times = F.col("__copies") + F.when(F.col("__place") <= F.col("__quota"), F.col("__step")).otherwise(0)
-    return timed.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(df.columns)], "source_size", "target", times.alias("times"))
+    return timed.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)], "source_size", "target", times.alias("times"))
 
 
 def words_of(text: str = "text"):

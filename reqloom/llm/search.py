@@ -9,9 +9,11 @@ the query's length falls short ends the query's search in that group. Survivors
 Query groups meet vector groups in a grid of tasks; both groups have a fixed number of rows, so a task's memory does not
 grow with the table. Each task gives k rows a query; they are merged per query.
 
-Vectors that are null or hold a null or non-finite component take no part. Shorter vectors count as padded with zeros.
-Repeated ids are rows of their own, but a query never meets a row of its own id. Ties go to the smaller id. An empty
-table, or one without queries, gives an empty result. Scores and components must fit 53 bits.
+Vectors that are null or hold a null or non-finite component take no part, nor do rows without id. Shorter vectors count
+as padded with zeros, and empty ones as zeros; vectors may be of any length that fits a task in blocks. Repeated ids are
+rows of their own, but a query never meets a row of its own id. Ties go to the smaller id. An empty table, or one without
+queries, gives an empty result. Scores and components must fit 53 bits. Extra columns are dropped; quantized() replaces
+columns named v or norm2.
 """
 
 from __future__ import annotations

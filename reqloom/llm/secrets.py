@@ -38,10 +38,10 @@ CLASSES = (
 )
 _PART = r"(?:[A-Za-z]?[a-z]++[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]{1,4}+)"
 _NAME = rf"{_PART}(?:[_-]{_PART})*+"
-#: Candidates that match one of these are no secrets: UUIDs, placeholders, and what consists of nothing but runs of the alphabet or of digits, of one character, or of a path of three word-like parts or more.
+#: Candidates that match one of these are no secrets: UUIDs, placeholders of 64 characters or less, and what consists of nothing but runs of the alphabet or of digits, of one character, or of a path of three word-like parts or more.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|sample|dummy|your_",
+    r"(?i)^(?=.*(?:example|placeholder|changeme|sample|dummy|your_)).{1,64}$",
     r"(?i)^(?:abcdef(?:gh(?:ij(?:klmnop(?:qrstuvwxyz)?)?)?)?|0|1234567(?:89?)?|[+/_=-])++$",
     r"^(.)\1{7,}$",
     rf"^/*+(?:{_NAME}/){{3,}}+(?:{_NAME})?$",

@@ -8,7 +8,8 @@ permuted again by a second key. The second permutation is block-wise (random blo
 no shard has to fit in one task; a slot is the block's offset plus the rank in the block.
 
 Nulls: a null key or payload hashes as such. Repeated rows are separate rows; which of two identical ones gets which slot
-cannot be told apart in the result. An empty table gives no rows. Extra columns travel along.
+cannot be told apart in the result. Null and empty texts are as any other; texts themselves are never moved, however long.
+An empty table gives no rows. Extra columns travel along; columns named shard or slot give way to the new ones.
 """
 
 from __future__ import annotations
@@ -80,7 +81,9 @@ def shard_sizes(total: int, shards: int) -> list[int]:
 def uniform_shards(df: DataFrame, identity: list[Column], shards: int = 8, seed: int = 20_241, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 in each shard). identity: columns that tell the rows apart."""
     spark = df.sparkSession
-    keyed = df.withColumn("__k1", F.xxhash64(F.lit(seed), *identity)).withColumn("__k2", F.xxhash64(F.lit(seed + 1), *identity)).withColumn("__tie", F.struct(*identity))
+    carried = [c for c in df.columns if c not in ("shard", "slot")]
+    row = F.struct(*carried).alias("__row") if carried else F.struct(F.lit(1)).alias("__row")
+    keyed = df.select(row, F.xxhash64(F.lit(seed), *identity).alias("__k1"), F.xxhash64(F.lit(seed + 1), *identity).alias("__k2"), F.struct(*identity).alias("__tie"))
     total = df.count()
     parts = max(LEAST_PARTITIONS, math.ceil(total / partition_rows))
     keyed = keyed.withColumn("__part", F.pmod(F.xxhash64("__k1"), F.lit(parts)).cast("int"))
@@ -89,14 +92,14 @@ def uniform_shards(df: DataFrame, identity: list[Column], shards: int = 8, seed:
     matrix = communication_matrix([sizes[p] for p in order], shard_sizes(total, shards), seed)
     cuts = spark.createDataFrame([(p, [int(x) for x in np.cumsum(row)]) for p, row in zip(order, matrix, strict=True)], "__part int, __cuts array<bigint>")
     place = F.row_number().over(Window.partitionBy("__part").orderBy("__k1", "__tie")) - 1
-    dealt = keyed.withColumn("__place", place).join(cuts, "__part").withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__place"))))
+    dealt = keyed.withColumn("__place", place).join(cuts, "__part").withColumn("__shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__place"))))
     blocks = max(LEAST_BLOCKS, math.ceil(total / shards / partition_rows))
     dealt = dealt.withColumn("__block", F.pmod(F.xxhash64("__k2"), F.lit(blocks)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("shard", "__block").orderBy("__k2", "__tie")) - 1
-    out = dealt.withColumn("__rank", rank).join(offsets, ["shard", "__block"]).withColumn("slot", F.col("__offset") + F.col("__rank"))
-    return out.select(*df.columns, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    before = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__shard", "__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("__shard", "__block").orderBy("__k2", "__tie")) - 1
+    out = dealt.withColumn("__rank", rank).join(offsets, ["__shard", "__block"])
+    return out.select(*[F.col("__row")[c].alias(c) for c in carried], F.col("__shard").cast("int").alias("shard"), (F.col("__offset") + F.col("__rank")).cast("long").alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

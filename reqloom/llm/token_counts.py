@@ -5,8 +5,9 @@ the sections' intervals by binary search. Rule for a token that crosses a bounda
 holds most of its characters, and of equal shares to the earlier section. A token that is part of a character spans that
 whole character. So the sections' counts add up to the document's.
 
-Null text is an empty text; an empty text has one empty section with no tokens. Documents without sections keep their
-tokens unattributed. Repeated rows are counted each on their own; extra columns are dropped.
+Null text is an empty text; an empty text has one empty section with no tokens. A null id stays null. Texts are encoded
+whole, however long. Repeated rows are counted each on their own, so ties do not matter. Only id and text are read; extra
+columns are dropped. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from reqloom.llm.common import table, tokenizer_file
@@ -71,26 +72,28 @@ def attribute(starts: np.ndarray, ends: np.ndarray, edges: np.ndarray) -> tuple[
     return owner, first != last
 
 
-def _count(batches: Iterator[pd.DataFrame], ranks_file: str) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch], ranks_file: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            ids, parts = [], []
-            for doc_id, text in zip(batch["doc_id"].iloc[at : at + 512], batch["text"].iloc[at : at + 512], strict=True):
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            owners, rows = [], []
+            for i, text in enumerate(part.column("text").to_pylist()):
                 text = text or ""
                 begins = line_sections(text)
                 edges = np.append(begins, len(text))
                 starts, ends = token_spans(text, ranks_file)
                 owner, crossing = attribute(starts, ends, edges)
                 n = len(begins)
-                ids += [doc_id] * n
-                parts.append(np.stack([np.arange(n), edges[:-1], edges[1:], np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n), np.full(n, len(starts))]))
-            if parts:
-                yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64")} | dict(zip(("section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"), np.concatenate(parts, axis=1), strict=True)))
+                owners.append(np.full(n, i))
+                rows.append(np.stack([np.arange(n), edges[:-1], edges[1:], np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n), np.full(n, len(starts))]))
+            section, *others = np.concatenate(rows, axis=1)
+            ids = part.column("doc_id").take(pa.array(np.concatenate(owners)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(section.astype(np.int32)), *map(pa.array, others)], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"])
 
 
 def section_token_counts(docs: DataFrame, ranks_file: str = RANKS) -> DataFrame:
     """One row for each line of each document: its span, its tokens, how many of those cross an edge, the document's tokens."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(lambda batches: _count(batches, ranks_file), SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda batches: _count(batches, ranks_file), SCHEMA)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,15 @@ length and digest from the response they name, if its digest is the one they sta
 and says why in defect.
 
 Null html is an empty payload. Pages without id are stored, and never referred to; their equals refer to the smallest id
-there is. Repeated rows of the smallest id are responses, all of them. Extra columns are dropped. An empty table gives none.
+there is. Repeated rows of the smallest id are responses, all of them. Payloads are whole, however long. Extra columns are
+dropped. An empty table gives none. A file that is cut short, damaged or no archive gives what stands before the damage,
+and one row of type damaged with the reason in defect.
 """
 
 from __future__ import annotations
 
-import gzip
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,7 @@ from reqloom.llm.common import new_path, table, written
 CHUNK_CHARS = 8_192
 SEGMENT_CHARS = 16_384
 LEAST_REVISIT = 100
-FILE_RECORDS = 10_000
+FILE_RECORDS = 2_000  # of at most SEGMENT_CHARS characters each, so a file holds 131 MB at most before compression
 BROADCAST_ROWS = 200_000
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -99,20 +102,45 @@ def write_archive(pages: DataFrame, path: str) -> None:
             store.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f.getPath().getName().replace(".txt.gz", ".warc.gz")))
 
 
+NUMBERS = ("content-length", "warc-segment-number", "warc-segment-total-length", "x-page-id", "x-refers-to-page-id")
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an uncompressed archive."""
-    at = 0
+    """Headers (names in lower case) and block of each record of an uncompressed archive. Ends with a record of type damaged where one cannot be read; its block says why."""
+    at, damaged = 0, {"warc-type": "damaged", "warc-record-id": None}
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:end].decode().split(BREAK)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        end = content.find(b"\r\n\r\n", at)
+        version, *lines = content[at : max(end, at)].decode(errors="replace").split(BREAK)
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if end < 0 or not version.startswith("WARC/"):
+            yield damaged, f"no WARC record at byte {at}".encode()
+            return
+        if not all(headers.get(k, "0").isdecimal() or k.startswith("x-") and headers[k].removeprefix("-").isdecimal() for k in NUMBERS) or not {"content-length", "warc-type", "warc-record-id"} <= set(headers):
+            yield damaged, f"headers of the record at byte {at} are missing or no numbers".encode()
+            return
         size = int(headers["content-length"])
+        if end + 4 + size > len(content):
+            yield damaged, f"record at byte {at} is cut short".encode()
+            return
         yield headers, content[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
+def inflated(content: bytes) -> tuple[bytes, str | None]:
+    """What the gzip members of a file hold, up to the first damage, and what that is."""
+    out = []
+    while content:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error as e:
+            return b"".join(out), f"not gzip: {e}"
+        if not member.eof:
+            return b"".join(out), "gzip member is cut short"
+        content = member.unused_data
+    return b"".join(out), None
+
+
 def dechunked(data: bytes) -> tuple[bytes | None, str | None]:
     """Payload of chunked framing, or None and why."""
     out, at = [], 0
@@ -120,10 +148,10 @@ def dechunked(data: bytes) -> tuple[bytes | None, str | None]:
         end = data.find(b"\r\n", at)
         if end < 0:
             return None, "chunk without size"
-        try:
-            size = int(data[at:end].split(b";")[0], 16)
-        except ValueError:
+        said = data[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", said):
             return None, "chunk size is no number"
+        size = int(said, 16)
         if size == 0:
             return b"".join(out), None
         part = data[end + 2 : end + 2 + size]
@@ -172,7 +200,11 @@ def _files(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterator[pa.Rec
     for batch in batches:
         for content in batch.column("content"):
             rows, held = [], 0
-            for h, block in parse(gzip.decompress(content.as_py())):
+            raw, broken = inflated(content.as_py())
+            for h, block in parse(raw):
+                if h["warc-type"] == "damaged":
+                    broken = broken or block.decode()
+                    break
                 if ("warc-segment-number" in h) != segments or h["warc-type"] not in ("response", "revisit", "continuation"):
                     continue
                 common = h["warc-record-id"], h["warc-type"]
@@ -185,6 +217,8 @@ def _files(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterator[pa.Rec
                 if held > 8 << 20:
                     yield _arrow(rows, RAW if segments else READ)
                     rows, held = [], 0
+            if broken and not segments:
+                rows.append((None, "damaged", None, None, None, None, broken))
             yield _arrow(rows, RAW if segments else READ)
 
 
@@ -198,7 +232,7 @@ def _reassemble(rows: pa.Table) -> pa.Table:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, type, page_id, refers_to, stated (digest), payload (null for revisits), defect: one row for each logical record."""
+    """record_id, type (response, revisit, damaged), page_id, refers_to, stated (digest), payload (null for revisits), defect: one row for each logical record and each damaged file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     whole = files.mapInArrow(lambda b: _files(b, False), READ)
     segments = files.mapInArrow(lambda b: _files(b, True), RAW)

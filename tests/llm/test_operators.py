@@ -1,6 +1,7 @@
 """The operators against plain Python, on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -161,6 +162,23 @@ def test_token_counts(docs, empty):
     assert token_counts.section_token_counts(empty).count() == 0
 
 
+def test_token_counts_keep_large_ids(spark):
+    rows = [(2**53 + 1, "two words\nand a line"), (None, "no id"), (2**53 + 1, ""), (-1, None)]
+    got = [tuple(r) for r in token_counts.section_token_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert collections.Counter(r[0] for r in got) == {2**53 + 1: 3, None: 1, -1: 1}
+
+
+def test_token_spans_against_decoded_prefixes():
+    encoding, _ = token_counts.encoder(token_counts.RANKS)
+    for text in ("plain words, and a line\n  more", "é Ω 日本 \U0001f600 x" * 5, "", "\n\n", "naïve\tcafé 東京タワー"):
+        ids = encoding.encode_ordinary(text)
+        byte_ends = [len(b"".join(encoding.decode_single_token_bytes(t) for t in ids[: k + 1])) for k in range(len(ids))]
+        of_byte = [i for i, c in enumerate(text) for _ in c.encode()]
+        starts, ends = token_counts.token_spans(text)
+        assert starts.tolist() == [of_byte[a] for a in [0, *byte_ends[:-1]][: len(ids)]]
+        assert ends.tolist() == [of_byte[b - 1] + 1 for b in byte_ends]
+
+
 def test_crossing_rule():
     owner, crossing = token_counts.attribute(np.array([0, 2, 4]), np.array([2, 6, 9]), np.array([0, 4, 5, 9]))
     assert owner.tolist() == [0, 0, 2] and crossing.tolist() == [False, True, True]
@@ -190,6 +208,16 @@ def test_top_k(spark):
     assert search.top_inner_products(search.quantized(none), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_empty_vectors_and_rows_without_id(spark):
+    rows = [(i, []) for i in range(0, 140, 10)] + [(None, [])]
+    got = search.top_inner_products(search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0).collect()
+    want = [(q, k + 1, i, 0) for q in (0, 50, 100) for k, i in enumerate([x for x in range(0, 140, 10) if x != q][:5])]
+    assert sorted(tuple(r) for r in got) == want
+    rows = [(0, [1.0, 2.0]), (None, [9.0, 9.0]), (7, [1.0, 1.0])]
+    found = search.top_inner_products(search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0).collect()
+    assert [tuple(r) for r in found] == [(0, 1, 7, 3 * 256 * 256)]
+
+
 def test_pruning_skips_work_and_loses_nothing():
     rng = np.random.default_rng(5)
     vectors = np.floor(rng.normal(0, 60, (4096, 32)) * np.exp(rng.normal(0, 0.7, (4096, 1))) * np.linspace(3, 0.05, 32)).astype(np.int64)
@@ -232,6 +260,16 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    line = "a line that is long enough"
+    rows = [(5, f"{line}\n{line}"), (5, line), (6, "another line of one document"), (6, "another line of one document"), (None, "lines without an id here"), (None, "lines without an id here")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r.n_dropped for r in out.collect()) == 0
+    more = spark.createDataFrame([*rows, (9, line), (9, "lines without an id here"), (2**63 - 1, line)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_dropped) for r in linededup.dedup_lines(more).collect())
+    assert got == {(5, 0): 2, (6, 0): 2, (None, 1): 2, (9, 1): 1, (9, 0): 1, (2**63 - 1, 1): 1}
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 1000, 50_000):
@@ -276,6 +314,38 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty, "size").count() == 0
 
 
+def test_mixing_replaces_columns_of_its_own_names(spark):
+    rows = [(i, 3 + i, "ab"[i % 2], -1.0, -2, -3) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string, target double, source_size long, times long")
+    out = mixing.mix(df, "size")
+    assert out.columns == ["doc_id", "size", "source", "source_size", "target", "times"]
+    assert all(r.target > 0 and r.source_size > 0 and r.times >= 0 for r in out.collect())
+
+
+def test_targets_of_many_sources():
+    rng = random.Random(6)
+    sizes, weights = [rng.choice([0, 1, 50, 10**6]) * rng.randint(1, 9) for _ in range(20_000)], [5.0, 2.0, 1.0] * 6667
+    out = mixing.targets(sizes, weights[:20_000], 1.5 * sum(sizes), 2.0)
+    assert sum(out) == pytest.approx(1.5 * sum(sizes))
+    rates = {t / w for t, w, s in zip(out, weights, sizes) if s and t < 2.0 * s}
+    assert max(rates) == pytest.approx(min(rates)) and all(t <= 2.0 * s and (t == 2.0 * s or not s or t / w <= min(rates) * 1.000001) for t, w, s in zip(out, weights, sizes))
+
+
+def test_fit_misses_by_less_than_a_document_that_is_left():
+    rng = random.Random(8)
+    for top in (50, 3000, 40_000):
+        for _ in range(6):
+            lengths = np.array(sorted(rng.sample(range(1, top), 40)))
+            counts = np.array([rng.randint(1, 30) for _ in lengths])
+            total = int((lengths * counts).sum())
+            goal = rng.uniform(0.1, 1.9) * total
+            copies, more = mixing.fit(lengths, counts, goal)
+            held = copies * counts + more
+            left = lengths[held < (copies + 1) * counts]
+            assert (held >= 0).all() and (held <= 2 * counts).all()
+            assert abs(round(goal) - int((lengths * held).sum())) < left.min(initial=total)
+
+
 def test_fit_swaps_where_that_comes_nearer():
     lengths, counts = np.array([3, 10, 5000]), np.array([2, 5, 1])
     copies, more = mixing.fit(lengths, counts, 5056 + 70)
@@ -381,6 +451,12 @@ def test_sharding(docs, empty):
     assert sharding.uniform_shards(empty.drop("shard"), identity).count() == 0
 
 
+def test_sharding_replaces_columns_of_its_own_names(docs):
+    out = sharding.uniform_shards(docs.withColumn("slot", F.lit("old")), [F.col("doc_id"), F.col("text")])
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
+    assert {r.shard for r in out.collect()} == set(range(8)) and out.schema["slot"].dataType.simpleString() == "bigint"
+
+
 def test_communication_matrix():
     rows, columns = [5, 0, 17, 100, 3], [40, 40, 45]
     total = np.zeros((5, 3))
@@ -417,6 +493,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_damaged_archives_give_defects(spark, tmp_path):
+    good = "".join(r + warc.BREAK * 2 for i in (1, 2) for r in warc.records_of(i, "u", "payload " * 20, hashlib.sha256(b"payload " * 20 ** 0).hexdigest(), f"id{i}", None)).encode()
+    files = {"good": gzip.compress(good), "cut": gzip.compress(good[:-40]), "member": gzip.compress(good)[:-12], "foreign": gzip.compress(b"no archive\r\n\r\nat all"), "plain": b"not gzip at all", "number": gzip.compress(good.replace(b"X-Page-ID: 2", b"X-Page-ID: two")), "headless": gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"), "none": b""}
+    for name, content in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(content)
+    read = warc.read_archive(spark, str(tmp_path)).collect()
+    defects = sorted(r.defect for r in read if r.type == "damaged")
+    assert len(defects) == 6 and sum("cut short" in d for d in defects) == 2
+    assert sorted(r.page_id for r in read if r.type == "response") == [1, 1, 1, 1, 2]
+    assert warc.dechunked(b"-5\r\nab\r\n")[1] == "chunk size is no number"
+
+
 def test_segments_are_checked():
     block = b"abcdef"
     whole = [(2, 6, b"def"), (1, None, b"abc")]
@@ -646,3 +734,25 @@ def test_components(spark):
             top[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for e in links if e[0] != e[1] for x in e}
+
+
+# ---------------------------------------------------------------- long texts
+
+
+def test_texts_of_several_megabytes(spark, tmp_path):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(700_000)]
+    long = "\n".join(" ".join(words[i : i + 14]) for i in range(0, len(words), 14)) + "\napi_key = Zk3mQ9xT7vLp2RwN8sYb4HcD"
+    rows = [(1, long, "en", "a"), (2, "a short text of some words, no more than that, really short", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(long) > 4_500_000
+    assert {r.doc_id: r.n for r in token_counts.section_token_counts(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {1: 50_001, 2: 1}
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs).collect()} == {1: (50_001, 0), 2: (1, 0)}
+    assert {r.doc_id: r.n_words for r in quality.measure_quality(docs).collect()} == {1: 700_003, 2: 12}
+    assert {r.doc_id: r.n for r in secrets.scan_secrets(docs).select("doc_id", secrets.count_of("base_spans", "assign").alias("n")).collect()} == {1: 1, 2: 0}
+    pieces = packing.pack(docs).collect()
+    assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values()) > 1_000_000
+    assert {r.doc_id: r.size for r in mixing.mix(docs.withColumn("size", mixing.words_of()), "size").collect()} == {1: 700_003, 2: 12}
+    assert sharding.uniform_shards(docs, [F.col("doc_id"), F.col("text")]).count() == 2
+    warc.write_archive(docs.selectExpr("doc_id as page_id", "'u' as url", "text as html"), f"{tmp_path}/archive")
+    assert {r.page_id: (len(r.payload), r.defect) for r in warc.read_archive(spark, f"{tmp_path}/archive").collect()} == {1: (len(long), None), 2: (len(rows[1][1]), None)}
