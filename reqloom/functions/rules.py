@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reqloom.functions.regexlib import any_of, first_label, java, matches
+from reqloom.functions.regexlib import any_of, first_label, java, let, matches
 from reqloom.functions.text import strip
 
 # Obligation patterns with their confidence.
@@ -31,12 +31,12 @@ def obligation(text: Column, section: Column | None = None) -> Column:
     about_content = any_of(text, OPTIONAL_CONTENT)
     by_text = first_label(t, MANDATORY, DEFAULT_OBLIGATION)
     optional = first_label(t, tuple((p, -c) for p, c in OPTIONAL), 0)
-    out = F.when(~about_content & (optional != 0), optional).otherwise(by_text)
+    out = let(optional, lambda found: F.when((found != 0) & ~about_content, found).otherwise(by_text))
     if section is None:
         return out
     s = F.coalesce(section, F.lit(""))
     by_section = first_label(s, (*((p, -c) for p, c in SECTION_OPTIONAL), *SECTION_MANDATORY), 0)
-    return F.when(by_section != 0, by_section).otherwise(out)
+    return let(by_section, lambda found: F.when(found != 0, found).otherwise(out))
 
 
 # Words and patterns of the domains.
@@ -64,13 +64,26 @@ def word_pattern(word: str) -> str:
     return word.lower() if " " in word else rf"\b{word.lower()}\b"
 
 
+def words_found(text: Column, tokens: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words a text in lower case holds. tokens: its distinct runs of word characters, which single words are looked up in."""
+    low = [w.lower() for w in words]
+    plain = [w for w in low if w.isidentifier()]
+    found = F.size(F.array_intersect(tokens, F.array(*map(F.lit, plain))))
+    for w in low:
+        if w not in plain:
+            found = found + (F.contains(text, F.lit(w)) if " " in w else F.contains(text, F.lit(w)) & matches(text, word_pattern(w), False)).cast("int")
+    return found
+
+
 def domain(text: Column) -> Column:
-    t = F.lower(text)
-    legal = F.lit(0)
-    for w in LEGAL_WORDS:
-        legal = legal + matches(t, word_pattern(w), False).cast("int")
-    process = any_of(t, STRONG_PROCESS) | any_of(t, tuple(map(word_pattern, PROCESS_WORDS)), False) | any_of(t, ("^how ", " how ", *HOW), False)
-    return F.when(any_of(t, tuple(map(word_pattern, STRONG_LEGAL)), False) | (legal >= 2), "LEGAL").when(process, "PROCESS").otherwise("FEATURE")
+    def named(x: Column) -> Column:
+        t, tokens = x["t"], x["tokens"]
+        legal = (words_found(t, tokens, STRONG_LEGAL) > 0) | (words_found(t, tokens, LEGAL_WORDS) >= 2)
+        process = (words_found(t, tokens, PROCESS_WORDS) > 0) | (F.contains(t, F.lit("how")) & any_of(t, ("^how ", " how ", *HOW), False)) | any_of(t, STRONG_PROCESS)
+        return F.when(legal, "LEGAL").when(process, "PROCESS").otherwise("FEATURE")
+
+    low = F.lower(text)
+    return let(F.struct(low.alias("t"), F.array_distinct(F.split(low, "[^a-z0-9_]+")).alias("tokens")), named)
 
 
 # Signals of written answers, of attestations, and of regulations.

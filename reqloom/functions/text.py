@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reqloom.functions.regexlib import java, matches, replaced
+from reqloom.functions.regexlib import java, let, matches, replaced, replaced_where_found
 
 HEAVY, LIGHT = "═" * 80, "─" * 58
 
@@ -170,11 +172,11 @@ def list_breaks(text: Column) -> Column:
 
 
 def without_fluff(draft: Column) -> Column:
-    return strip(replaced(replaced(replaced(replaced(draft, FLUFF), ONE_SPACE, ""), LINE_ENDS, "m"), TWO_BREAKS, ""))
+    return strip(replaced(replaced(replaced(replaced_where_found(draft, FLUFF), ONE_SPACE, ""), LINE_ENDS, "m"), TWO_BREAKS, ""))
 
 
 def guarded(draft: Column) -> Column:
-    return replaced(replaced(draft, OVERCLAIMS), ONE_SPACE, "")
+    return replaced(replaced_where_found(draft, OVERCLAIMS), ONE_SPACE, "")
 
 
 def tidy_breaks(draft: Column) -> Column:
@@ -195,16 +197,21 @@ def without_tables(draft: Column) -> Column:
 
 def by_domain(draft: Column, domain: Column) -> Column:
     """Forbidden terms out (in legal drafts: marked), the domain's notice added, spaces tidied."""
-    out = draft
-    for name, terms in FORBIDDEN.items():
-        steps = tuple((rf"\b{t}\b", "[REVIEW: term removed]" if name == "LEGAL" else "") for t in terms)
-        done = replaced(draft, steps)
-        if name in NOTICES:
-            has = done.contains(NOTICES[name]) | done.contains("[DRAFT]")
-            has = has | done.contains("may vary") if name == "PROCESS" else has
-            done = F.when(has, done).otherwise(F.concat(strip(done), F.lit("\n\n" + NOTICES[name])))
-        out = F.when(domain == name, done).otherwise(out)
-    return strip(replaced(replaced(out, ONE_SPACE, ""), TWO_BREAKS, ""))
+
+    def noted(name: str, done: Column) -> Column:
+        has = done.contains(NOTICES[name]) | done.contains("[DRAFT]")
+        has = has | done.contains("may vary") if name == "PROCESS" else has
+        return F.when(has, done).otherwise(F.concat(strip(done), F.lit("\n\n" + NOTICES[name])))
+
+    def chosen(whole: Column) -> Column:
+        out = whole
+        for name, terms in FORBIDDEN.items():
+            done = replaced_where_found(whole, tuple((rf"\b{t}\b", "[REVIEW: term removed]" if name == "LEGAL" else "") for t in terms))
+            done = let(done, partial(noted, name)) if name in NOTICES else done
+            out = F.when(domain == name, done).otherwise(out)
+        return out
+
+    return strip(replaced(replaced(let(draft, chosen), ONE_SPACE, ""), TWO_BREAKS, ""))
 
 
 def with_company(text: Column, name: Column) -> Column:

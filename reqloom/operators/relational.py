@@ -16,21 +16,28 @@ def nested(parents: DataFrame, children: DataFrame, key: str, order: str, name:
 def jaccard_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:
     """Pairs (a < b) of a group whose sets of words over two characters have at least such a Jaccard similarity (above, where least is exclusive).
 
-    Prefix filtering: with words ordered by rarity, two similar sets share a word among the first of each, so only rows that
-    meet on such a word are compared; the sizes bound the similarity before that.
+    Rows of equal sets count as one set until the end. Prefix filtering: with words ordered by rarity, two similar sets share
+    a word among the first of each, so only sets that meet on such a word are compared, once each; the sizes bound the
+    similarity before that, and words are fetched for those pairs only.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2))
-    sets = rows.select(F.col(group).alias("g"), F.col(id_).alias("id"), words.alias("words")).where(F.size("words") > 0)
-    count = sets.select("g", "id", F.explode("words").alias("word"))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2)))
+    rows = rows.select(F.col(group).alias("g"), F.col(id_).alias("id"), words.alias("words")).where(F.size("words") > 0)
+    sets = rows.groupBy("g", "words").agg(F.min("id").alias("set"), F.size(F.first("words")).alias("n"))
+    named = rows.join(sets, ["g", "words"]).select("g", "id", "set")
+    count = sets.select("g", "set", "n", F.explode("words").alias("word"))
     rarity = count.groupBy("g", "word").agg(F.count(F.lit(1)).alias("held"))
-    ordered = count.join(rarity, ["g", "word"]).groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "word"))), lambda x: x["word"]).alias("ordered"))
-    prefix = F.slice("ordered", 1, (F.size("ordered") - F.ceil(F.size("ordered") * least - 1e-9).cast("int") + 1))
-    keyed = ordered.select("g", "id", "ordered", F.size("ordered").alias("n"), F.explode(prefix).alias("word"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9))
-    both = F.size(F.array_intersect("a.ordered", "b.ordered"))
-    pairs = near.select(F.col("a.g").alias(group), F.col("a.id").alias("a"), F.col("b.id").alias("b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("similarity"))
-    return pairs.where(F.col("similarity") > least).distinct()
+    place = F.row_number().over(Window.partitionBy("g", "set").orderBy("held", "word"))
+    first = count.join(rarity, ["g", "word"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    a, b = first.alias("a"), first.alias("b")
+    near = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.set") < F.col("b.set")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9))
+    met = near.select(F.col("a.g").alias("g"), F.col("a.set").alias("s"), F.col("b.set").alias("t")).distinct()
+    words_of = lambda end: sets.select("g", F.col("set").alias(end), F.col("words").alias(f"words_{end}"))
+    both = F.size(F.array_intersect("words_s", "words_t"))
+    alike = met.join(words_of("s"), ["g", "s"]).join(words_of("t"), ["g", "t"]).select("g", "s", "t", (both / (F.size("words_s") + F.size("words_t") - both)).alias("similarity")).where(F.col("similarity") > least)
+    member = lambda end, as_: named.select("g", F.col("set").alias(end), F.col("id").alias(as_))
+    unlike = alike.join(member("s", "x"), ["g", "s"]).join(member("t", "y"), ["g", "t"]).select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    equal = member("set", "a").join(member("set", "b"), ["g", "set"]).where("a < b").select("g", "a", "b", F.lit(1.0).alias("similarity"))
+    return unlike.unionByName(equal if least < 1 else equal.where(F.lit(False))).withColumnRenamed("g", group)
 
 
 def keep_first_unlike(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:

@@ -44,7 +44,7 @@ def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan by a profile: numeric labels under 3. only."""
     docs = tenders(spark, sf_dir).withColumn("families", F.array(F.lit("numeric"))).withColumn("prefixes", F.array(F.lit("3.")))
-    return X.candidates(docs, X.marks(docs, profile=True))
+    return X.candidates(docs, profile=True)
 
 
 def extraction_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reqloom.functions import rules as R
 from reqloom.functions import text as N
 from reqloom.functions.kinds import answer_kind, best_keywords, keyword_scores
-from reqloom.functions.regexlib import any_of_sql, quoted, replaced_sql
+from reqloom.functions.regexlib import any_of_sql, let, quoted, replaced_sql
 from reqloom.plans.corpus import PROJECTS_SQL, REQUIREMENTS_SQL, projects, requirements
 
 
@@ -147,9 +147,10 @@ def draft_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cleaning step of a draft on its own, and the steps in their order."""
     d = F.col("draft_answer")
     reqs = requirements(spark, sf_dir).join(projects(spark, sf_dir).select("project_id", "company_name"), "project_id", "left").where("draft_answer is not null")
-    whole = N.tidy_breaks(N.without_tables(N.by_domain(N.guarded(N.without_fluff(d)), F.col("domain_context"))))
+    reqs = reqs.withColumn("no_fluff", let(N.without_fluff(d), lambda x: x))
+    whole = N.tidy_breaks(N.without_tables(N.by_domain(N.guarded(F.col("no_fluff")), F.col("domain_context"))))
     return reqs.select(
-        "requirement_id", N.without_fluff(d).alias("no_fluff"), N.guarded(d).alias("guarded"), N.by_domain(d, F.col("domain_context")).alias("by_domain"), N.without_tables(d).alias("no_tables"), N.tidy_breaks(d).alias("tidy"), whole.alias("whole"), N.with_company(d, F.col("company_name")).alias("named")
+        "requirement_id", "no_fluff", N.guarded(d).alias("guarded"), N.by_domain(d, F.col("domain_context")).alias("by_domain"), N.without_tables(d).alias("no_tables"), N.tidy_breaks(d).alias("tidy"), whole.alias("whole"), N.with_company(d, F.col("company_name")).alias("named")
     )
 
 
@@ -228,6 +229,8 @@ def tender_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requirements(spark, sf_dir).withColumn("line", F.concat_ws(" ", F.concat(F.lit("3."), (F.col("ord") % 4 + 1).cast("string"), F.lit("."), F.col("ord").cast("string")), "text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
     head = F.lit("TENDER\n1.0 Introduction\n\nSection 2: Scope of Work\n3.1 Design, Form, and Templates\n3.\n1.\n17 Split number\n* starred\n- Dashed item\n– dashed\n○ round\n1.First\na)letter\n(iv) roman\nRef  Requirement  Answer\n5 SPECIAL CONDITIONS\n")
+    # Dealt by a stated number, which adaptive execution keeps: what follows costs far more for each byte than a shuffle's size tells.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project_id")
     return rows.groupBy("project_id").agg(F.concat(head, F.array_join(lines, "\n")).alias("text"))
 
 
