@@ -13,7 +13,7 @@ STRUCTURES = (
     (r"^(does|do)\s+(the|your|it|this|a|an|you)", "yes_no", 95, "does/do start"),
     (r"^can\s+(the|your|you|it|this|users?|a|an|we)", "yes_no", 95, "can start"),
     (r"^can\s+\w+(\s+\w+){0,3}\s+be\s+", "yes_no", 88, "can X be"),
-    (r"^(?!.*\b(what|how|why|where|when|which)\b)can\s+[^?]+\?\z", "yes_no", 85, "can...?"),
+    (r"^(?![\s\S]*\b(what|how|why|where|when|which)\b)can\s+[^?]+\?\z", "yes_no", 85, "can...?"),
     (r"^is\s+(the|your|it|this|there|a|an)\s", "yes_no", 95, "is start"),
     (r"^are\s+(the|your|there|these|those|you|we)", "yes_no", 95, "are start"),
     (r"^will\s+(the|your|it|this|you|there)", "yes_no", 90, "will start"),

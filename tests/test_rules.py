@@ -121,11 +121,39 @@ def test_junk_and_cleaning(spark):
     assert one(spark, extraction.cleaned(F.col("t")), t="[ROW 1] [Col 1] Provide it | Yes  now. 3.2 Next Title") == "Provide it now."
 
 
-def test_html():
-    got = html.structured("<html><head><title>t</title></head><body><h2>3.1</h2><p></p><h3>Scope</h3><ul><li>a<ol><li>b</li></ol></li></ul><table><tr><th>H</th></tr><tr><td>x</td><td>y</td></tr></table><script>z</script></body></html>")
-    assert got == "## 3.1: Scope\n\n\n• a\n  1. b\n\n[TABLE START]\n[HEADER] [Col 1] H\n[ROW 1] [Col 1] x | [Col 2] y\n[TABLE END]"
-    assert html.items_restored("Use:LinkedInYouTubeAPI") == "Use:\n• LinkedIn\n• YouTube\n• API"
-    assert html.table_text(False, [["1.1.1", "a"], ["b"], ["1.1.2", "c"]]).count("[TABLE START]") == 2
+def test_html(spark):
+    pages = [
+        (1, "<html><head><title>t</title></head><body><h2>3.1</h2><p></p><h3>Scope</h3><ul><li>a<ol><li>b</li></ol></li></ul><table><tr><th>H</th></tr><tr><td>x</td><td>y</td></tr></table><script>z</script></body></html>"),
+        (2, "<body><h1>2.</h1><p>text between</p><h1>Title</h1></body>"),
+        (3, "<body><h1>2.</h1><h1>A.</h1><h2>Title here</h2><p>x</p><table></table></body>"),
+        (4, "<table><tr><td>1.1.1</td><td>a</td></tr><tr><td>b</td></tr><tr><td>1.1.2</td><td>Use:LinkedInYouTubeAPI</td></tr></table>"),
+        (5, None),
+        (6, ""),
+        (None, "<p>no id</p>"),
+        (1, "<p>the same id</p>"),
+    ]
+    rows = html.html_text(spark.createDataFrame(pages, "page_id long, html string").repartition(3)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.page_id, []).append(r.text)
+    assert sorted(got[1]) == ["## 3.1: Scope\n\n\n• a\n  1. b\n\n[TABLE START]\n[HEADER] [Col 1] H\n[ROW 1] [Col 1] x | [Col 2] y\n[TABLE END]", "the same id"]
+    assert got[2] == ["# 2.\n\n\ntext between\n\n\n# Title"]
+    assert got[3] == ["# 2: Title here\n\n\nx"]
+    table = "[TABLE START]\n[ROW 1] [Col 1] 1.1.1 | [Col 2] a\n[ROW 2] [Col 1] b\n[TABLE END]\n\n[TABLE START]\n[ROW 1] [Col 1] 1.1.2 | [Col 2] Use:\n• LinkedIn\n• YouTube\n• API\n[TABLE END]"
+    assert got[4] == [table] and got[5] == [""] and got[6] == [""] and got[None] == ["no id"]
+
+
+def test_word_boundaries_are_the_same(spark):
+    from reqloom.functions import regexlib
+
+    patterns = [r"\b(must|shall)\b", r"\bshall\s+be\b", r"\bx?y\b", r"\b[A-Z]{2,4}\s+\d+\b", r"\b(a|-b)\b", r"\b\d+\.\d+\b", r"\b(?:in|out)put\b", r"\b\w*ed\b", r"\b100%\b", r"\b(FAR|U\.S\.C\.|Section \d+)\b", r"\bde?\b", r"a\b"]
+    texts = ["must shall be", "émust mustard shallé", "xy y ay yé", "AB 12 ABCDE 1", "a -b ab", "1.22 11.2a", "input output éinput", "edéd bed", "100% 100%a", "U.S.C.x FAR Section 12", "d de dé", "", "a_b a-b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda p: regexlib.java(p.replace("\\b", "@@")).replace("@@", regexlib.BOUNDARY)
+    for p in patterns:
+        got, want = (df.select(F.regexp_extract_all("t", F.lit(x), F.lit(0)).alias("m")).collect() for x in (regexlib.java(p), plain(p)))
+        assert got == want, p
+    assert regexlib.java(r"\bmust\b") == r"(?<!\w)must(?!\w)" and regexlib.java(r"\bx?y\b").startswith(regexlib.BOUNDARY)
 
 
 def test_relational(spark):
