@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +19,61 @@ def sliding_limit(events: DataFrame, key: str, ts: str, seconds: int, most: int)
     return events.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("in_window") <= most)
 
 
+def ordered_fold(events: DataFrame, key: str, ts: str, tie: str, begin: tuple, step: Callable[[tuple, int], tuple[tuple, tuple]], schema: str) -> DataFrame:
+    """key, tie and what step gives for each event of a key in order of time; step(state, microseconds) gives the next state and the values.
+
+    Events are dealt by key and sorted there, and batches stream through: a task holds one batch and one key's state, however
+    many events the key has. The events of one key are in one task, as each depends on all before it.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, begin
+        for batch in batches:
+            rows = []
+            for k, at in zip(batch.column("k").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                state = begin if k != last else state
+                last = k
+                state, values = step(state, at)
+                rows.append(values)
+            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+            made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("tie"), *made], names=["k", "tie", *names])
+
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
+    given = events.where(F.col(ts).isNotNull()).select(F.col(key).cast("long").alias("k"), micros(ts).alias("at"), F.col(tie).cast("long").alias("tie"))
+    out = given.repartition("k").sortWithinPartitions("k", "at", "tie").mapInArrow(run, f"k long, tie long, {schema}")
+    return out.withColumnsRenamed({"k": key, "tie": tie})
+
+
 def fixed_limit(events: DataFrame, key: str, ts: str, tie: str, seconds: int, most: int) -> DataFrame:
-    """Windows open with the first event after the last one closed. Adds window_start and allowed; a fold over each key's ordered times."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros(ts).alias("at"), F.col(tie).alias("tie")))).alias("rows"))
-    rows = "array<struct<at: bigint, tie: bigint, opened: bigint, n: int>>"
-    folded = F.expr(f"""aggregate(rows, named_struct('opened', cast(null as bigint), 'n', 0, 'out', cast(array() as {rows})),
-        (a, r) -> named_struct(
-            'opened', if(a.opened is null or r.at >= a.opened + {seconds * 1_000_000}, r.at, a.opened),
-            'n', if(a.opened is null or r.at >= a.opened + {seconds * 1_000_000}, 1, a.n + 1),
-            'out', concat(a.out, array(named_struct('at', r.at, 'tie', cast(r.tie as bigint), 'opened', if(a.opened is null or r.at >= a.opened + {seconds * 1_000_000}, r.at, a.opened), 'n', if(a.opened is null or r.at >= a.opened + {seconds * 1_000_000}, 1, a.n + 1))))),
-        a -> a.out)""")
-    return listed.select(key, F.inline(folded)).select(key, F.col("tie").alias(tie), F.timestamp_micros("opened").alias("window_start"), F.col("n").alias("in_window"), (F.col("n") <= most).alias("allowed"))
+    """Windows open with the first event after the last one closed: window_start, in_window and allowed of each event."""
+
+    def step(state: tuple, at: int) -> tuple[tuple, tuple]:
+        opened, n = state
+        if opened is None or at >= opened + seconds * 1_000_000:
+            opened, n = at, 0
+        return (opened, n + 1), (opened, n + 1, n < most)
+
+    out = ordered_fold(events, key, ts, tie, (None, 0), step, "opened long, in_window int, allowed boolean")
+    return out.select(key, tie, F.timestamp_micros("opened").alias("window_start"), "in_window", "allowed")
+
+
+def lockouts(attempts: DataFrame, key: str, ts: str, tie: str, most: int = 5, forget: int = 60, lock: int = 900) -> DataFrame:
+    """key, tie, allowed: more than so many attempts within forget seconds of the first lock the key for lock seconds."""
+
+    def step(state: tuple, at: int) -> tuple[tuple, tuple]:
+        first, n, until = state
+        if at < until:
+            return state, (False,)
+        if n == 0 or at >= first + forget * 1_000_000:
+            first, n = at, 0
+        n += 1
+        if n > most:
+            until, n = at + lock * 1_000_000, 0
+        return (first, n, until), (at >= until,)
+
+    return ordered_fold(attempts, key, ts, tie, (0, 0, 0), step, "allowed boolean")
 
 
 def first_seen(events: DataFrame, id_: str, ts: str, tie: str) -> DataFrame:

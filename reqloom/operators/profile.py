@@ -75,3 +75,18 @@ def range_texts(docs: DataFrame, rows: DataFrame, ranges: DataFrame) -> DataFram
     held = wanted.join(keyed, "doc_id").where(F.col("key").between(F.col("low"), F.col("high")))
     spans = held.groupBy("doc_id", "first", "last").agg(F.greatest(F.lit(0), F.min("start") - 200).alias("start"), (F.max("end") + 500).alias("end"))
     return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "first", "last", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+
+
+def prefix_sections(text: Column, prefixes: list[str]) -> Column:
+    """The parts of a text under section numbers with one of the prefixes, a blank line between; the whole text without prefixes or hits."""
+    if not prefixes:
+        return text
+    either = "|".join(p.replace(".", r"\.") for p in prefixes)
+    parts = F.regexp_extract_all(text, F.lit(rf"(?md)(?:^|\n)({either}\d*(?:\.\d+)*[\s\S]*?)(?=\n(?!{either})\d+\.|$)"), F.lit(0))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(text)
+
+
+def section_summary(sections: DataFrame) -> DataFrame:
+    """doc_id, summary: the list of major sections, which stands for a summary where no model wrote one. sections: doc_id, major, title, at."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat_ws(": ", "major", "title").alias("line")))), lambda x: x["line"])
+    return sections.groupBy("doc_id").agg(F.concat(F.lit("RFP SECTIONS:\n"), F.array_join(lines, "\n")).alias("summary"))

@@ -234,6 +234,12 @@ def fixed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fixed_limit(events(spark, sf_dir), "user_id", "ts", "event_id", 86_400, 3).select("user_id", "event_id", "in_window", "allowed")
 
 
+#: The next window opens with the first event a day or more after the last opening.
+FIXED_SQL = """with recursive o as (select user_id, min(ts) as opened from events group by user_id
+  union all select user_id, next from (select o.user_id, (select min(e.ts) from events e where e.user_id = o.user_id and e.ts >= o.opened + interval 1 day) as next from o) n where next is not null)
+select e.user_id, e.event_id, (row_number() over w)::int as in_window, row_number() over w <= 3 as allowed from events e asof join o on e.user_id = o.user_id and e.ts >= o.opened window w as (partition by e.user_id, o.opened order by e.ts, e.event_id)"""
+
+
 def idempotent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each (user, type) event once, at its first time."""
     e = events(spark, sf_dir).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
@@ -325,7 +331,7 @@ QUERIES = {
     "json_details": (json_details, JSON_SQL),
     "events_by_detail": (events_by_detail, DETAIL_SQL),
     "sliding_rate": (sliding_rate, SLIDING_SQL),
-    "fixed_rate": (fixed_rate, None),
+    "fixed_rate": (fixed_rate, FIXED_SQL),
     "idempotent_events": (idempotent_events, IDEMPOTENT_SQL),
     "job_states": (job_states, JOB_SQL),
     "monthly_quota": (monthly_quota, MONTHLY_SQL),

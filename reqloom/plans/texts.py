@@ -105,6 +105,12 @@ _REASON_TESTS = (
 REVIEW_SQL = "select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {t} then '{r}' end" for t, r in zip(_REASON_TESTS, R.REASONS, strict=True)) + "], lambda x: x is not null), ',') as reasons from documents"
 
 
+_SAME = " and ".join(f"c[i] = c[i + {k}]" for k in range(1, 6))
+_LAST = f"len(list_filter(range(1, len(c) - 4), lambda i: {_SAME} and c[i] not in ('_', '-'))) > 0"
+#: Without back-references: six equal characters in a row, of the text as a list.
+REVIEW_ALL_SQL = "select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {t} then '{r}' end" for t, r in zip((*_REASON_TESTS[:-1], _LAST), R.REASONS, strict=True)) + "], lambda x: x is not null), ',') as reasons from (select doc_id, text, string_split(text, '') as c from documents)"
+
+
 def review_flags_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.filter(R.review_reasons(F.col("text")), lambda x: x != R.REASONS[-1])
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", joined(found).alias("reasons"))
@@ -244,7 +250,7 @@ QUERIES = {
     "domain_labels": (domain_labels, DOMAIN_SQL),
     "attestation_labels": (attestation_labels, ATTESTATION_SQL),
     "type_labels": (type_labels, TYPE_SQL),
-    "review_flags": (review_flags, None),
+    "review_flags": (review_flags, REVIEW_ALL_SQL),
     "review_flags_checked": (review_flags_checked, REVIEW_SQL),
     "template_matches": (template_matches, TEMPLATE_SQL),
     "placeholder_scan": (placeholder_scan, PLACEHOLDER_SQL),

@@ -143,6 +143,39 @@ def test_html(spark):
     assert got[4] == [table] and got[5] == [""] and got[6] == [""] and got[None] == ["no id"]
 
 
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    from reqloom.sources import docx
+
+    para = lambda said, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{said}</w:t></w:r></w:p>'
+    heading, item = '<w:pStyle w:val="Heading2"/>', "<w:numPr/>"
+    table = f"<w:tbl><w:tr><w:tc>{para('a')}</w:tc><w:tc>{para('b &lt; c')}</w:tc></w:tr></w:tbl>"
+    body = para("3.1", heading) + para("Scope", heading) + para("Some text") + para("one", item) + para("two", item) + table
+    with zipfile.ZipFile(tmp_path / "good.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    with zipfile.ZipFile(tmp_path / "empty.docx", "w") as z:
+        z.writestr("other.xml", "")
+    (tmp_path / "bad.docx").write_bytes(b"PK no archive")
+    (tmp_path / "large.docx").write_bytes(b"x" * (html.MOST_BYTES + 1))
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.defect) for r in docx.docx_text(spark, str(tmp_path)).collect()}
+    assert got["good.docx"] == ("## 3.1: Scope\n\n\nSome text\n\n• one\n• two\n\n[TABLE START]\n[ROW 1] [Col 1] a | [Col 2] b < c\n[TABLE END]", None)
+    assert got["bad.docx"][0] is None and got["empty.docx"] == (None, "no document: KeyError") and got["large.docx"] == (None, "too large")
+    kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in html.uploads(spark, str(tmp_path)).collect()}
+    assert kinds == {"good.docx": "docx", "empty.docx": "docx", "bad.docx": None, "large.docx": None}
+
+
+def test_number_changes_and_prefixes(spark):
+    from reqloom.operators import profile
+
+    body = "intro " * 100 + "\n1.1 first\n" + "a " * 300 + "\n2.1 second\n" + "b " * 300 + "\n3.1 third\n" + "short"
+    got = extraction.number_changes(spark.createDataFrame([(1, body), (2, "1.1 a\n2.1 b"), (3, None)], "doc_id long, text string")).collect()
+    second, third = body.index("2.1 second"), body.index("3.1 third")
+    assert sorted((r.doc_id, r.start, r.end, r.number) for r in got) == [(1, 0, second, "1"), (1, second, third, "2")]
+    assert one(spark, profile.prefix_sections(F.col("t"), ["3."]), t="1.0 x\n3.1 y\n4.1 z") == "\n3.1 y"
+    assert one(spark, profile.prefix_sections(F.col("t"), ["9."]), t="1.0 x") == "1.0 x"
+
+
 def test_word_boundaries_are_the_same(spark):
     from reqloom.functions import regexlib
 
@@ -175,4 +208,6 @@ def test_streams_equal_batches(spark, tmp_path):
     keyed.run_once(keyed.first_events(stream(), "id", "ts"), "firsts", f"{tmp_path}/c2")
     assert spark.table("firsts").select("id").distinct().count() == spark.table("firsts").count() == 7
     keyed.run_once(keyed.lockouts(stream(), "user_id", "ts", "event_id", most=2, forget=600, lock=900), "locks", f"{tmp_path}/c3")
+    folded = keyed_time.lockouts(df, "user_id", "ts", "event_id", most=2, forget=600, lock=900)
+    assert sorted(map(tuple, spark.table("locks").collect())) == sorted(map(tuple, folded.collect()))
     assert spark.table("locks").count() == 60 and 0 < spark.table("locks").where("not allowed").count() < 60
