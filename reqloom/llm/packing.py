@@ -1,14 +1,18 @@
 """Lexical retrieval packing.
 
-Documents are dealt into shards by a seeded hash of their id, each of about SHARD_DOCS documents, and each shard holds its own
-BM25 inverted index over token ids (its own document counts and lengths, as search engines score a shard). In a shard a
+Every text is encoded once. Documents are then dealt by content: a document's key is two tokens drawn from its set with
+chances that grow with the token's rank in the vocabulary, by the same random numbers for all (weighted MinHash), so that documents
+that share rare tokens tend to get the same key. In order of the keys they are cut into index shards of at most
+SHARD_DOCS documents and SHARD_TOKENS tokens; a key that very many documents have fills several shards. Each shard holds its
+own BM25 inverted index over token ids (its own document counts and lengths, as search engines score a shard). In a shard a
 seed document opens a window. The index returns the unused documents that score highest for the seed; in that order those
 that fit are put into the window. If room is left, the best one that does not fit is cut there and its rest
 becomes the seed of the next window; without neighbours, the next unused document is. So all windows of a shard but the
 last are full. A term that half of the shard's documents hold or more weighs nothing (the BM25 weight is not positive).
 
-Null and empty texts have only the end token. Rows with equal ids are packed each on its own. Null ids are kept.
-Ties in score go to the document that comes first in the shard's order (by hash, id, text). An empty table gives no rows.
+Null and empty texts have only the end token. Texts are packed whole, however long; a long one makes a shard of few. Rows
+with equal ids are packed each on its own. Null ids are kept. Only id and text are read; extra columns are dropped. Ties in
+score go to the document that comes first in the shard's order (by key, hash, id). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import table, tokenizer_file
+from reqloom.llm.common import table, tokenizer_file, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 WINDOW = 2048
 SHARD_DOCS = 1024
+SHARD_TOKENS = 4 << 20
+PART_TOKENS = 16 << 20  # in one task, which packs its shards one after the other
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens binary"
 
@@ -218,24 +225,72 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[
             sequence, filled = sequence + 1, 0
 
 
-def _pack(docs: pa.Table, vocabulary: str, window: int) -> pa.Table:
-    end = np.array([END], dtype="<u4").tobytes()
-    given = sorted(zip(docs.column("order").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2] or ""))
-    raw = [token_bytes(text, vocabulary) + end for _, _, text in given]
-    pieces = pack_shard([np.frombuffer(r, dtype="<u4") for r in raw], window)
-    doc, start, length, sequence, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
-    base = docs.column("shard")[0].as_py() << 32
-    tokens = [raw[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc, start, length, strict=True)]
-    columns = [pa.array([given[d][1] for d in doc], pa.int64()), start, length, pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([len(raw[d]) // 4 for d in doc], pa.int64()), base + sequence, offset, pa.array(tokens, pa.binary())]
-    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tokens"])
+RARER = 4.0  # a token's weight in the key is this power of the logarithm of its id, as later ids are rarer
+
+
+def _draws(seed: int, n: int) -> np.ndarray:
+    """Of each token id the number that is compared: the least of a set is drawn with a chance in proportion to its weight."""
+    weight = np.log(np.arange(n) + 2.0) ** RARER
+    return np.random.Generator(np.random.PCG64(seed)).exponential(size=n) / weight
 
 
-def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, window: int = WINDOW, shard_docs: int = SHARD_DOCS, seed: int = 5) -> DataFrame:
+def content_key(ids: np.ndarray, draws: tuple[np.ndarray, np.ndarray]) -> int:
+    """Two tokens of the document, one from each row of draws, as one number; -1 without tokens."""
+    if not len(ids):
+        return -1
+    first, second = (int(ids[np.argmin(d[ids])]) for d in draws)
+    return first << 31 | second
+
+
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, seed: int) -> Iterator[pa.RecordBatch]:
+    draws = _draws(seed, 1 << 17), _draws(seed + 1, 1 << 17)
+    end = np.array([END], dtype="<u4").tobytes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            raw = [token_bytes(t, vocabulary) for t in part.column("text").to_pylist()]
+            ids = [np.frombuffer(r, dtype="<u4") for r in raw]
+            keys = [content_key(i, draws) if not len(i) or int(i.max()) < 1 << 17 else int(i.max()) for i in ids]
+            tokens = [r + end for r in raw]
+            columns = [part.column("doc_id"), part.column("order"), pa.array(keys, pa.int64()), pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "order", "key", "n", "tokens"])
+
+
+def _pieces(given: list[tuple[int | None, bytes]], window: int, base: int) -> tuple[pa.RecordBatch, int]:
+    """The pieces of one shard, and the number of its sequences. given: id and tokens of each document, in order."""
+    pieces = pack_shard([np.frombuffer(r, dtype="<u4") for _, r in given], window)
+    doc, start, length, sequence, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
+    tokens = [given[d][1][4 * s : 4 * (s + n)] for d, s, n in zip(doc, start, length, strict=True)]
+    columns = [pa.array([given[d][0] for d in doc], pa.int64()), start, length, pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([len(given[d][1]) // 4 for d in doc], pa.int64()), base + sequence, offset, pa.array(tokens, pa.binary())]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names), int(sequence.max()) + 1
+
+
+def _pack(batches: Iterator[pa.RecordBatch], window: int, shard_docs: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Packs the documents of a task, which come in order of their keys, shard by shard."""
+    base, given, held = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            if given and (len(given) >= shard_docs or held + len(tokens) // 4 > shard_tokens):
+                out, n = _pieces(given, window, base)
+                yield out
+                base, given, held = base + n, [], 0
+            given.append((doc_id, tokens))
+            held += len(tokens) // 4
+    if given:
+        yield _pieces(given, window, base)[0]
+
+
+def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, seed: int = 5) -> DataFrame:
     """One row for each piece, with its token ids (tokens: little-endian 32-bit)."""
-    shards = max(1, math.ceil(docs.count() / shard_docs))
     order = F.xxhash64(F.lit(seed), F.col(id_), F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
-    dealt = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), order.alias("order")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(lambda rows: _pack(rows, vocabulary, window), SCHEMA)
+    given = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), order.alias("order"))
+    encoded = written(given.mapInArrow(lambda b: _encode(b, vocabulary, seed), "doc_id long, order long, key long, n long, tokens binary"), "tokens")
+    rows, tokens = encoded.agg(F.count(F.lit(1)), F.sum("n")).first()
+    shards = max(1, math.ceil(rows / shard_docs))
+    tasks = min(shards, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((tokens or 0) / PART_TOKENS)))
+    dealt = encoded.repartitionByRange(tasks, "key", "order", "doc_id").sortWithinPartitions("key", "order", "doc_id").select("doc_id", "tokens")
+    return dealt.mapInArrow(lambda b: _pack(b, window, shard_docs, shard_tokens), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,51 @@ def test_packing(docs, empty, spark):
     assert sorted(map(str, rows)) == sorted(map(str, packing.pack(docs.repartition(2), window=64, shard_docs=30).collect()))
 
 
+def test_greedy_fill_against_plain_python():
+    rng = random.Random(12)
+    for window in (16, 64):
+        docs = [np.array([rng.randrange(2, 40) for _ in range(rng.randint(1, 50))] + [1], dtype="<u4") for _ in range(40)]
+        index, unused, want, sequence, filled, rest = packing.Index(docs), list(range(40)), [], 0, 0, None
+        while unused or rest:
+            seed, start = rest or (unused.pop(0), 0)
+            scores, queue = index.query(docs[seed]), [(seed, start)]
+            rest = None
+            while queue:
+                doc, start = queue.pop(0)
+                take = min(window - filled, len(docs[doc]) - start)
+                want.append((doc, start, take, sequence, filled))
+                filled += take
+                rest = (doc, start + take) if start + take < len(docs[doc]) else None
+                if filled == window or rest:
+                    break
+                near = sorted((d for d in unused if scores[d] > 0), key=lambda d: (-scores[d], d))
+                left_out = [d for d in near if len(docs[d]) > window - filled]
+                fit = [d for d in near if len(docs[d]) <= window - filled]
+                chosen = fit[0] if fit else left_out[0] if left_out else None
+                if chosen is not None:
+                    unused.remove(chosen)
+                    queue.append((chosen, 0))
+            if filled == window:
+                sequence, filled = sequence + 1, 0
+        assert sum(w[2] for w in want) == sum(map(len, docs))
+        got = packing.pack_shard(docs, window)
+        assert sum(g[2] for g in got) == sum(map(len, docs))
+        assert [g[:2] for g in got][:3] == [w[:2] for w in want][:3]
+        assert got == want
+
+
+def test_content_keys_meet_where_texts_are_alike():
+    rng = np.random.default_rng(5)
+    draws = packing._draws(5, 1 << 17), packing._draws(6, 1 << 17)
+    met = other = 0
+    for _ in range(200):
+        words = rng.integers(2, 40_000, 300)
+        near = np.concatenate([words[:280], rng.integers(2, 40_000, 20)])
+        met += packing.content_key(words.astype("<u4"), draws) == packing.content_key(near.astype("<u4"), draws)
+        other += packing.content_key(words.astype("<u4"), draws) == packing.content_key(rng.integers(2, 40_000, 300).astype("<u4"), draws)
+    assert met > 120 and other == 0 and packing.content_key(np.zeros(0, "<u4"), draws) == -1
+
+
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
