@@ -242,6 +242,17 @@ def content_key(ids: np.ndarray, draws: tuple[np.ndarray, np.ndarray]) -> int:
     return first << 31 | second
 
 
+def narrow(tokens: bytes) -> bytes:
+    """32-bit numbers as 16-bit ones where all fit."""
+    ids = np.frombuffer(tokens, dtype="<u4")
+    return ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else tokens
+
+
+def wide(tokens: bytes, n: int) -> bytes:
+    """n numbers of either width as 32-bit ones."""
+    return tokens if len(tokens) == 4 * n else np.frombuffer(tokens, dtype="<u2").astype("<u4").tobytes()
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, seed: int) -> Iterator[pa.RecordBatch]:
     draws = _draws(seed, 1 << 17), _draws(seed + 1, 1 << 17)
     end = np.array([END], dtype="<u4").tobytes()
@@ -251,8 +262,8 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, seed: int) -> It
             raw = [token_bytes(t, vocabulary) for t in part.column("text").to_pylist()]
             ids = [np.frombuffer(r, dtype="<u4") for r in raw]
             keys = [content_key(i, draws) if not len(i) or int(i.max()) < 1 << 17 else int(i.max()) for i in ids]
-            tokens = [r + end for r in raw]
-            columns = [part.column("doc_id"), part.column("order"), pa.array(keys, pa.int64()), pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array(tokens, pa.binary())]
+            tokens = [narrow(r + end) for r in raw]
+            columns = [part.column("doc_id"), part.column("order"), pa.array(keys, pa.int64()), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "order", "key", "n", "tokens"])
 
 
@@ -270,13 +281,13 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, shard_docs: int, shard
     """Packs the documents of a task, which come in order of their keys, shard by shard."""
     base, given, held = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-            if given and (len(given) >= shard_docs or held + len(tokens) // 4 > shard_tokens):
+        for doc_id, n_tokens, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens")), strict=True):
+            if given and (len(given) >= shard_docs or held + n_tokens > shard_tokens):
                 out, n = _pieces(given, window, base)
                 yield out
                 base, given, held = base + n, [], 0
-            given.append((doc_id, tokens))
-            held += len(tokens) // 4
+            given.append((doc_id, wide(tokens, n_tokens)))
+            held += n_tokens
     if given:
         yield _pieces(given, window, base)[0]
 
@@ -289,7 +300,7 @@ def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: s
     rows, tokens = encoded.agg(F.count(F.lit(1)), F.sum("n")).first()
     shards = max(1, math.ceil(rows / shard_docs))
     tasks = min(shards, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((tokens or 0) / PART_TOKENS)))
-    dealt = encoded.repartitionByRange(tasks, "key", "order", "doc_id").sortWithinPartitions("key", "order", "doc_id").select("doc_id", "tokens")
+    dealt = encoded.repartitionByRange(tasks, "key", "order", "doc_id").sortWithinPartitions("key", "order", "doc_id").select("doc_id", "n", "tokens")
     return dealt.mapInArrow(lambda b: _pack(b, window, shard_docs, shard_tokens), SCHEMA)
 
 
