@@ -237,7 +237,7 @@ def level_of(node: str, top: int) -> Column:
 def level_pairs(held: DataFrame, level: int, percent: int) -> DataFrame:
     """(centre, member): pairs of a bucket in different components, the higher of whose levels is the given one, that sizes and sketches allow.
 
-    held: bucket, node, n, level, component, main (the bucket's largest component), star (its centre, which has met all), sketch.
+    held: bucket, node, n, level, component, main (its largest component), star (its centre, which has met all), sketch.
     One of a pair is outside the main component, so members inside it never meet each other.
     """
     other = F.col("a.component") != F.col("b.component")
@@ -279,22 +279,21 @@ def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     edges = written(members.join(centres, "bucket").where(fits).select("centre", F.col("node").alias("member")).distinct(), "edges")
     fresh = written(confirm(edges, texts, percent), "links")
     found = None if fresh.isEmpty() else joined(None, fresh)
-    several, level = None, None
-    while level is None or level >= 0:
-        of = members if several is None else several
-        rows = of.withColumn("component", F.col("node")) if found is None else of.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("inside"))
-        mains = sizes.groupBy("bucket").agg(F.max(F.struct("inside", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").select("bucket", "main")
-        if several is None:  # from here on only the buckets of several components, with sketches and levels
-            rows = rows.join(mains.select("bucket"), "bucket").join(centres.select("bucket", F.col("centre").alias("star")), "bucket")
-            largest = rows.agg(F.max("held")).first()[0]
-            if largest is None:
-                return found
-            level = math.ceil(math.log(largest, BASE))
-            several = written(rows.join(sets.select("node", "sketch"), "node").select("bucket", "node", "n", "star", "sketch", level_of("node", level).alias("level")), "several")
-            continue
-        pairs = written(level_pairs(rows.join(mains, "bucket"), level, percent), "pairs")
-        level -= 1
+    labelled = lambda of: of.withColumn("component", F.col("node")) if found is None else of.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # From here on only the buckets of several components, with sketches and levels. A bucket's main component is named once;
+    # if it gets another name later, all members count as outside it, which costs comparisons but loses no pair.
+    rows = labelled(members)
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("inside"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("inside", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    mains = written(mains.join(centres.select("bucket", F.col("centre").alias("star")), "bucket").select("bucket", "main", "star"), "mains")
+    open_ = written(members.join(mains, "bucket").select("bucket", "node", "n", "held", "main", "star"), "open")
+    largest = open_.agg(F.max("held")).first()[0]
+    if largest is None:
+        return found
+    top = math.ceil(math.log(largest, BASE))
+    several = written(open_.join(sets.select("node", "sketch"), "node").withColumn("level", level_of("node", top)), "several")
+    for level in range(top, -1, -1):
+        pairs = written(level_pairs(labelled(several), level, percent), "pairs")
         if not pairs.isEmpty():
             fresh = written(confirm(pairs, texts, percent), "links")
             if not fresh.isEmpty():
