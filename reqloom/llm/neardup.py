@@ -282,22 +282,24 @@ def _links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     labelled = lambda of: of.withColumn("component", F.col("node")) if found is None else of.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # From here on only the buckets of several components, with sketches and levels. A bucket's main component is named once;
     # if it gets another name later, all members count as outside it, which costs comparisons but loses no pair.
-    rows = labelled(members)
+    rows = written(labelled(members), "labelled")
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("inside"))
     mains = sizes.groupBy("bucket").agg(F.max(F.struct("inside", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
     mains = written(mains.join(centres.select("bucket", F.col("centre").alias("star")), "bucket").select("bucket", "main", "star"), "mains")
-    open_ = written(members.join(mains, "bucket").select("bucket", "node", "n", "held", "main", "star"), "open")
+    open_ = written(rows.join(mains, "bucket").select("bucket", "node", "n", "held", "component", "main", "star"), "open")
     largest = open_.agg(F.max("held")).first()[0]
     if largest is None:
         return found
     top = math.ceil(math.log(largest, BASE))
     several = written(open_.join(sets.select("node", "sketch"), "node").withColumn("level", level_of("node", top)), "several")
     for level in range(top, -1, -1):
-        pairs = written(level_pairs(labelled(several), level, percent), "pairs")
+        pairs = written(level_pairs(several, level, percent), "pairs")
         if not pairs.isEmpty():
             fresh = written(confirm(pairs, texts, percent), "links")
             if not fresh.isEmpty():
                 found = joined(found, fresh)
+                if level:
+                    several = written(labelled(several.where(F.col("level") < level).drop("component")), "several")
     return found
 
 
