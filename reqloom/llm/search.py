@@ -7,7 +7,9 @@ that reaches the query's k-th best so far, nothing is computed. As lengths desce
 the query's length falls short ends the query's search in that group. Survivors get their exact score in whole numbers.
 
 Query groups meet vector groups in a grid of tasks; both groups have a fixed number of rows, so a task's memory does not
-grow with the table. Each task gives k rows a query; they are merged per query.
+grow with the table. First the longest blocks meet all queries, which gives each query a k-th best score to start from.
+Any other block is then sent to a query group only if its greatest length can reach the score of one of the group's
+queries; components travel in the fewest bytes that hold them all. Each task gives at most k rows a query, merged per query.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without id. Shorter vectors count
 as padded with zeros, and empty ones as zeros; vectors may be of any length that fits a task in blocks. Repeated ids are
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,41 +65,46 @@ def dense(vectors, dims: int) -> np.ndarray:
     return out
 
 
-def _pack(batches: Iterator[pd.DataFrame], dims: int) -> Iterator[pd.DataFrame]:
-    """Blocks of rows in the order given. packed: ids, then components, as little-endian 64-bit numbers."""
-    ids, vectors = np.zeros(0, dtype="<i8"), np.zeros((0, dims), dtype="<i8")
-    block = lambda i, v: pd.DataFrame({"top": [float((v.astype(np.float64) ** 2).sum(axis=1).max())], "n": [len(i)], "packed": [i.tobytes() + v.tobytes()]})
+def _pack(batches: Iterator[pd.DataFrame], dims: int, size: int, kind: str) -> Iterator[pd.DataFrame]:
+    """Blocks of rows in the order given: block (its number), top (greatest length), n, packed (ids in 64 bits, then components as kind)."""
+    ids, vectors = np.zeros(0, dtype="<i8"), np.zeros((0, dims), dtype=kind)
+    number = TaskContext.get().partitionId() << 32
+
+    def block(i: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        top = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1).max()))
+        return pd.DataFrame({"block": [number], "top": [top], "n": [len(i)], "packed": [i.tobytes() + v.tobytes()]})
+
     for batch in batches:
         ids = np.concatenate([ids, batch["id"].to_numpy("<i8")])
-        vectors = np.concatenate([vectors, dense(batch["v"], dims).astype("<i8")])
-        while len(ids) >= BLOCK:
-            yield block(ids[:BLOCK], vectors[:BLOCK])
-            ids, vectors = ids[BLOCK:], vectors[BLOCK:]
+        vectors = np.concatenate([vectors, dense(batch["v"], dims).astype(kind)])
+        while len(ids) >= size:
+            yield block(ids[:size], vectors[:size])
+            number += 1
+            ids, vectors = ids[size:], vectors[size:]
     if len(ids):
         yield block(ids, vectors)
 
 
-def _unpack(packed: bytes, n: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(packed, dtype="<i8")
-    return raw[:n], raw[n:].reshape(n, dims)
+def _unpack(packed: bytes, n: int, dims: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(packed, dtype="<i8", count=n), np.frombuffer(packed, dtype=kind, offset=8 * n).reshape(n, dims).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_group(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(query id, id, score) of each query's k best in the blocks, which come by descending length; and the number of exact products."""
+def search_blocks(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int, floors: list[np.ndarray] | None = None) -> tuple[list[list[tuple[np.ndarray, np.ndarray]]], int]:
+    """Of each query in each query block (scores, ids): its k best in the blocks, which come by descending length, with at least the score that floors gives; and the number of exact products."""
     prepared = []
     for ids, vectors in blocks:
         turned = vectors @ rotation
         prepared.append((ids, vectors, turned[:, :head], np.linalg.norm(turned[:, head:], axis=1), np.linalg.norm(turned, axis=1).max(initial=0.0)))
     out, exact = [], 0
-    for query_ids, query_vectors in queries:
+    for at, (query_ids, query_vectors) in enumerate(queries):
         turned = query_vectors @ rotation
         lengths, rest = np.linalg.norm(turned, axis=1), np.linalg.norm(turned[:, head:], axis=1)
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
-        floor = np.full(len(query_ids), -np.inf)
+        floor = np.full(len(query_ids), -np.inf) if floors is None else np.array(floors[at], dtype=np.float64)
         for ids, vectors, first, residual, top in prepared:
             slack = SLACK * lengths * top + SLACK
             open_ = np.flatnonzero(lengths * top + slack >= floor)
@@ -119,42 +127,81 @@ def search_group(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tupl
                 best[q] = scores[top_k], names[top_k]
                 if len(top_k) == k:
                     floor[q] = max(floor[q], scores[top_k[-1]])
-        out += [(int(q), int(i), int(s)) for q, (scores, names) in zip(query_ids, best, strict=True) for s, i in zip(scores, names, strict=True)]
+        out.append(best)
     return out, exact
 
 
-def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id") -> DataFrame:
+def search_group(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int, floors: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """What search_blocks finds as (query id, id, score); and the number of exact products."""
+    found, exact = search_blocks(queries, blocks, rotation, k, head, floors)
+    pairs = ((q, best) for (ids, _), block in zip(queries, found, strict=True) for q, best in zip(ids, block, strict=True))
+    return [(int(q), int(i), int(s)) for q, (scores, names) in pairs for s, i in zip(scores, names, strict=True)], exact
+
+
+def least_length(query_vectors: np.ndarray, floors: np.ndarray) -> float:
+    """The length below which no vector reaches the floor of any of the queries."""
+    lengths = np.linalg.norm(query_vectors.astype(np.float64), axis=1)
+    some = (floors > 0) & (lengths > 0)  # others are reached by vectors of any length
+    return float(((floors[some] - SLACK) / (lengths[some] * (1 + SLACK))).min()) if some.all() else -1.0
+
+
+def needed(blocks: DataFrame, reach: DataFrame, groups: int, query_groups: int) -> DataFrame:
+    """g, h, block: where each block (block, top) is sent, by the least length that query group h asks for. reach: h, reach."""
+    met = blocks.select("block", "top", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("h")).join(reach, "h").where("top >= reach")
+    return met.select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), "h", "block")
+
+
+def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """vectors: from quantized(). is_query: condition on its rows. query_id, rank (from 1), the id, score."""
     spark = vectors.sparkSession
     vectors = written(vectors.select(F.col(id_).cast("long").alias("id"), "v", "norm2", is_query.alias("is_query")).where(F.col("id").isNotNull()), "vectors")
-    total, dims = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    total, dims, most = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     schema = f"query_id long, rank int, {id_} long, score long"
     if not total or not dims:
         return spark.createDataFrame([], schema) if not total else _all_zero(vectors, k, id_)
     rotation = np.linalg.svd(gram(vectors, dims))[0]
     head = max(1, dims // 4)
-    parts = max(1, -(-total // (BLOCK * GROUP)))
+    parts = max(1, -(-total // (block * group)))
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
 
     def packed(rows: DataFrame, n: int) -> DataFrame:
         ordered = rows.repartitionByRange(n, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-        return written(ordered.select("id", "v").mapInPandas(lambda b: _pack(b, dims), "top double, n int, packed binary"), "blocks")
+        return written(ordered.select("id", "v").mapInPandas(lambda b: _pack(b, dims, block, kind), "block long, top double, n int, packed binary"), "blocks")
 
     blocks = packed(vectors, parts)
     queries = packed(vectors.where("is_query"), max(1, parts // 50))
     n_blocks, n_queries = blocks.count(), queries.count()
-    groups, query_groups = max(1, -(-n_blocks // GROUP)), max(1, -(-n_queries // GROUP))
-    dealt = lambda df, n, other, own: df.withColumn(own, F.pmod(F.xxhash64("packed"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-    left = dealt(blocks, groups, query_groups, "g").select("g", F.col("other").alias("h"), "top", "n", "packed")
-    right = dealt(queries, query_groups, groups, "h").select("h", F.col("other").alias("g"), "n", "packed")
+    groups, query_groups = max(1, -(-n_blocks // group)), max(1, -(-n_queries // group))
+    unpack = lambda rows: [_unpack(p, n, dims, kind) for p, n in zip(rows["packed"], rows["n"], strict=True)]
+
+    def lead(_key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        asked = unpack(theirs)
+        found, _ = search_blocks(asked, unpack(mine.sort_values("top", ascending=False)), rotation, k, head)
+        floors = [np.array([float(scores[-1]) if len(scores) == k else -np.inf for scores, _ in best]) for best in found]
+        repeated = [np.repeat(ids, [len(x) for _, x in best]) for (ids, _), best in zip(asked, found, strict=True)]
+        join = lambda best, at: np.concatenate([x[at] for x in best])
+        return theirs[["h", "n", "packed"]].assign(
+            floors=floors, reach=[least_length(v, f) for (_, v), f in zip(asked, floors, strict=True)],
+            query_id=repeated, id=[join(best, 1) for best in found], score=[join(best, 0) for best in found],
+        )
+
+    longest = [r.block for r in blocks.select("block", "top").orderBy(F.desc("top"), "block").limit(group).collect()]
+    first = blocks.where(F.col("block").isin(longest)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+    queries = queries.withColumn("h", F.pmod(F.xxhash64("block"), F.lit(query_groups)).cast("int"))
+    led_schema = "h int, n int, packed binary, floors array<double>, reach double, query_id array<long>, id array<long>, score array<long>"
+    led = written(first.groupBy("h").cogroup(queries.groupBy("h")).applyInPandas(lead, led_schema), "led")
+    others = blocks.where(~F.col("block").isin(longest))
+    sent = written(needed(others, led.groupBy("h").agg(F.min("reach").alias("reach")), groups, query_groups), "sent")
+    left = blocks.join(sent, "block").select("g", "h", "top", "n", "packed")
+    met = sent.select(F.col("g").alias("g"), F.col("h").alias("h")).distinct()  # names of its own, as both sides of the cogroup come from sent
+    right = led.join(met, "h").select("g", "h", "n", "packed", "floors")
 
     def meet(_key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        mine = mine.sort_values("top", ascending=False)
-        rows, _ = search_group(
-            [_unpack(p, n, dims) for p, n in zip(theirs["packed"], theirs["n"], strict=True)], [_unpack(p, n, dims) for p, n in zip(mine["packed"], mine["n"], strict=True)], rotation, k, head
-        )
+        rows, _ = search_group(unpack(theirs), unpack(mine.sort_values("top", ascending=False)), rotation, k, head, list(theirs["floors"]))
         return pd.DataFrame(rows, columns=["query_id", "id", "score"], dtype="int64")
 
-    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(meet, "query_id long, id long, score long")
+    later = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(meet, "query_id long, id long, score long")
+    found = led.select(F.inline(F.arrays_zip("query_id", "id", "score"))).unionByName(later)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_), "score")
 

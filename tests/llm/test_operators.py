@@ -279,6 +279,42 @@ def test_pruning_skips_work_and_loses_nothing():
         assert sorted(got[q]) == sorted((-int(s), int(i)) for i, s in enumerate(vectors @ vectors[q]) if i != q)[:5]
 
 
+def test_short_blocks_are_not_sent(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    matrix = np.floor(rng.normal(0, 60, (3000, 8)) * np.exp(rng.normal(0, 1.0, (3000, 1)))).astype(np.int64)
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    made, real = {}, search.written
+
+    def kept(table, name):
+        made[name] = real(table, name)
+        return made[name]
+
+    monkeypatch.setattr(search, "written", kept)
+    got = search.top_inner_products(search.quantized(df), F.col("vec_id") % 50 == 0, block=32, group=2).collect()
+    want = []
+    for q in range(0, 3000, 50):
+        scores = sorted((-int(s), i) for i, s in enumerate(matrix @ matrix[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == want
+    assert 0 < made["sent"].count() < 3000 / 32 / 2  # of all blocks times one query group
+    assert search.least_length(np.array([[3, 4], [0, 0]]), np.array([10.0, -np.inf])) < 0
+    assert 1.99 < search.least_length(np.array([[3, 4], [6, 8]]), np.array([10.0, 30.0])) <= 2
+
+
+def test_components_of_any_size(spark):
+    rows = [(i, [float((i * 7919) % 101 - 50) * 10**e, float(i)]) for e, at in ((2, 0), (5, 200)) for i in range(at, at + 101)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    matrix, ids = np.array([[int(x * 256) for x in v] for _, v in rows]), [i for i, _ in rows]
+    want = []
+    for at, q in enumerate(ids):
+        if q % 50 == 0:
+            scores = sorted((-int(s), i) for i, s in zip(ids, matrix @ matrix[at], strict=True) if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    for small in (16, 1024):
+        got = search.top_inner_products(search.quantized(df), F.col("vec_id") % 50 == 0, block=small).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
 # ---------------------------------------------------------------- line dedup
 
 
