@@ -35,6 +35,7 @@ from reqloom.llm.common import table, tokenizer_file
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 1 << 20  # characters encoded at once
 CACHED = 1 << 18  # words
+SHORT = 64  # bytes of words that are merged together
 NEVER = np.iinfo(np.int64).max
 # Fixed value: the pattern that byte-level pre-tokenizers split by. Its white space is Unicode's; regex also counts U+001C to U+001F.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
@@ -181,10 +182,47 @@ class Vocabulary:
         bad = ~self.compatible(pairs // self.size, pairs % self.size)
         failed = np.unique(owner[inner[bad[which]]])
         out = np.split(tokens, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
+        short = [i for i in failed.tolist() if len(words[i]) <= SHORT]
+        for word, ids in zip(short, self.merged_together([words[i] for i in short])):
+            out[word] = ids
         for word in failed.tolist():
-            out[word] = self.merged(words[word])
+            if len(words[word]) > SHORT:
+                out[word] = self.merged(words[word])
         return out, len(failed)
 
+    def merged_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of many short words, a rank of each word at a time; for regular vocabularies.
+
+        There a merge only makes pairs of later ranks, so all pairs of a word's lowest rank can go at once, from the left.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        tokens = np.array(self.byte_ids, dtype=np.int64)[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        names = np.arange(len(words))
+        while len(tokens):
+            starts = np.cumsum(sizes) - sizes
+            ranks = np.full(len(tokens), NEVER)
+            ranks[:-1] = self.merge_rank(tokens[:-1], tokens[1:])
+            ranks[starts + sizes - 1] = NEVER
+            least = np.minimum.reduceat(ranks, starts)
+            done = least == NEVER
+            if done.any():
+                for name, a, n in zip(names[done].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    out[name] = tokens[a : a + n]
+                stay = np.repeat(~done, sizes)
+                tokens, ranks, sizes, names, least = tokens[stay], ranks[stay], sizes[~done], names[~done], least[~done]
+            chosen = ranks == np.repeat(least, sizes) if len(tokens) else np.zeros(0, dtype=bool)
+            places = np.flatnonzero(chosen)
+            first = np.concatenate([[True], np.diff(places) > 1])[: len(places)]  # of places in a row, as in a a a, each second one goes
+            nth = np.arange(len(places)) - np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+            places = places[nth % 2 == 0]
+            tokens[places] = self.made[ranks[places]]
+            keep = np.ones(len(tokens), dtype=bool)
+            keep[places + 1] = False
+            sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[places], minlength=len(sizes))
+            tokens = tokens[keep]
+        return out
+
     def merged(self, word: bytes) -> np.ndarray:
         """Exact merging: the pair of the lowest rank first, of equal ones the leftmost."""
         ids, size, merge_of, made = [self.byte_ids[b] for b in word], self.size, self.merge_of, self.made
@@ -292,9 +330,9 @@ def chunks(text: str) -> Iterable[str]:
         yield text[at:]
 
 
-def slices(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of stretches with about that many bytes of text; a longer text is a stretch of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(lengths: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of rows whose lengths add up to most at the utmost; a longer one is a stretch of its own."""
+    sizes = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(sizes):
         before = sizes[first - 1] if first else 0
@@ -316,7 +354,7 @@ def vocabulary(file: str = VOCABULARY) -> Vocabulary:
 def _encode(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
     coder = vocabulary(file)
     for batch in batches:
-        for first, n in slices(batch.column(1)):
+        for first, n in slices(pc.binary_length(batch.column(1))):
             ids, counts = coder.encode([t or "" for t in batch.column(1).slice(first, n).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
@@ -325,10 +363,11 @@ def _encode(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordB
 def _decode(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
     coder = vocabulary(file)
     for batch in batches:
-        lists = batch.column(1)
-        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        texts = coder.decode(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), ends)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        for first, n in slices(pc.list_value_length(batch.column(1)), CHUNK // 4):
+            lists = batch.column(1).slice(first, n)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = coder.decode(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ _WORD = re.compile(WORD)
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, n in slices(batch.column(1)):
+        for first, n in slices(pc.binary_length(batch.column(1))):
             lists = [_WORD.findall(t or "") for t in batch.column(1).slice(first, n).to_pylist()]
             flat = [w for words in lists for w in words]
             codes = {w: i for i, w in enumerate(dict.fromkeys(flat))}

@@ -57,6 +57,9 @@ def test_speculation_and_merging_agree():
     ids, failed = coder.encode_words(words)
     assert 0 < failed < len(words)
     assert all(got.tolist() == coder.merged(w).tolist() for w, got in zip(words, ids, strict=True))
+    words += [b"aaaaaaa", b"a" * 60, "ééééé".encode(), b"x"]
+    assert all(got.tolist() == coder.merged(w).tolist() for w, got in zip(words, coder.merged_together(words), strict=True))
+    assert coder.merged_together([]) == []
 
 
 def test_odd_vocabularies(tmp_path):
