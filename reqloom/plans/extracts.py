@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from reqloom.functions import text as N
 from reqloom.operators import extraction as X
+from reqloom.operators import parallel
 from reqloom.operators import profile as P
-from reqloom.plans.texts import tender_documents
+from reqloom.plans.texts import tender_documents, varied_tenders
 from reqloom.sources.html import html_text
 
 
 def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised tender texts of all projects."""
-    return tender_documents(spark, sf_dir).select(F.col("project_id").alias("doc_id"), N.preprocess(F.col("text"), tables=False).alias("text"))
+    """Normalised tender texts of all projects, in all numbering families."""
+    return varied_tenders(spark, sf_dir).select(F.col("project_id").alias("doc_id"), N.preprocess(F.col("text"), tables=False).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +52,19 @@ def extraction_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.bins(X.candidates(tenders(spark, sf_dir)), 3)
 
 
+def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and tenders under negative ids."""
+    return documents(spark, sf_dir).unionByName(tenders(spark, sf_dir).withColumn("doc_id", -F.col("doc_id")))
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.chunks(documents(spark, sf_dir))
+    """Chunks of all documents and tenders, by each of the three routes."""
+    return parallel.planned_chunks(all_texts(spark, sf_dir))
+
+
+def chunked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all documents and tenders, with many tasks to a long text."""
+    return parallel.candidates(all_texts(spark, sf_dir))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +84,4 @@ def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.range_texts(docs, rows, docs.select("doc_id", F.lit("3.1").alias("first"), F.lit("3.2.99999").alias("last")))
 
 
-QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, page_texts, profile_inputs, range_texts)}
+QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, chunked_candidates, page_texts, profile_inputs, range_texts)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqloom.functions import rules as R
@@ -240,6 +240,28 @@ def tender_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("project_id").agg(F.concat(head, F.array_join(lines, "\n")).alias("text"))
 
 
+#: How a tender numbers its requirements, by residue of its project: one form for each family.
+NUMBERINGS = ("3.{k}.{i}", "II.A.{i}", "B.{k}.{i}", "C{i}.", "({i})", "{l}.", "[REQ-{i}]")
+SECTION_HEADS = ("SPECIAL CONDITIONS", "Scope of Work", "Company Profile", "Security Needs", "DELIVERY AND TERMS")
+
+
+def varied_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tender texts in seven numbering families. Each fiftieth one is long, and half of the long ones have section heads."""
+    project, long = F.col("project_id"), F.col("project_id") % 50 == 7
+    headed = ~long | (F.floor(project / 50) % 2 == 0)
+    rows = requirements(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project_id")
+    lists = rows.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
+    style = F.get(F.array(*map(F.lit, NUMBERINGS)), (project % len(NUMBERINGS)).cast("int"))
+
+    def line(said: Column, i: Column) -> Column:
+        number = F.replace(F.replace(F.replace(style, F.lit("{k}"), (i % 4 + 1).cast("string")), F.lit("{i}"), (i + 1).cast("string")), F.lit("{l}"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (i % 26 + 1).cast("int"), 1))
+        head = F.concat(F.lit("\n"), F.floor(i / 3 + 4).cast("string"), F.lit(".0 "), F.get(F.array(*map(F.lit, SECTION_HEADS)), (F.floor(i / 3) % len(SECTION_HEADS)).cast("int")), F.lit("\n"))
+        filler = F.when(long, F.repeat(F.lit(" The authority explains the background at length and asks for nothing here."), 100)).otherwise("")
+        return F.concat(F.when(headed & (i % 3 == 0), head).otherwise(""), number, F.lit(" "), said, filler)
+
+    return lists.select("project_id", F.concat(F.lit("TENDER\n"), F.array_join(F.transform("texts", line), "\n")).alias("text"))
+
+
 def normalised_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return tender_documents(spark, sf_dir).select("project_id", N.preprocess(t).alias("normalised"), N.preprocess(t, markers=False, tables=False).alias("plain"), N.for_model(t).alias("for_model"))

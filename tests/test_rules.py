@@ -101,15 +101,6 @@ def test_marks_are_folded():
     assert extraction.major_sections("1.0 Introduction\nSection 2: Scope of Work\n")["2"][0] == "Scope of Work"
 
 
-def test_chunks():
-    assert extraction.chunks_of("short")[0] == "none"
-    long = "".join(f"{i}. Title Words Here\n{'word ' * 2000}\n" for i in range(1, 8))
-    method, parts = extraction.chunks_of(long)
-    assert method == "sections" and [p[2] for p in parts] == [str(i) for i in range(1, 8)]
-    method, parts = extraction.chunks_of("x" * 60_000)
-    assert method == "size" and parts[0][:2] == (0, 15_000) and parts[-1][1] == 60_000
-
-
 def test_bins(spark):
     rows = spark.createDataFrame([(1, f"1.{i}.{k}") for i, n in ((1, 20), (2, 30), (3, 50), (4, 10), (5, 10)) for k in range(n)], "doc_id long, label string")
     assert [(r.subsections, r.expected) for r in extraction.bins(rows, 55).orderBy("bin").collect()] == [("1.1,1.2", 50), ("1.3", 50), ("1.4,1.5", 20)]
