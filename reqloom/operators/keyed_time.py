@@ -19,8 +19,8 @@ def sliding_limit(events: DataFrame, key: str, ts: str, seconds: int, most: int)
     return events.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("in_window") <= most)
 
 
-def ordered_fold(events: DataFrame, key: str, ts: str, tie: str, begin: tuple, step: Callable[[tuple, int], tuple[tuple, tuple]], schema: str) -> DataFrame:
-    """key, tie and what step gives for each event of a key in order of time; step(state, microseconds) gives the next state and the values.
+def ordered_fold(events: DataFrame, key: str, ts: str, tie: str, begin, step: Callable[..., tuple], schema: str, *more: str) -> DataFrame:
+    """key, tie and what step gives for each event of a key in order of time; step(state, microseconds, values of more) gives the next state and the values.
 
     Events are dealt by key and sorted there, and batches stream through: a task holds one batch and one key's state, however
     many events the key has. The events of one key are in one task, as each depends on all before it.
@@ -31,17 +31,17 @@ def ordered_fold(events: DataFrame, key: str, ts: str, tie: str, begin: tuple, s
         last, state = None, begin
         for batch in batches:
             rows = []
-            for k, at in zip(batch.column("k").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            for k, *given in zip(*(batch.column(c).to_pylist() for c in ("k", "at", *more)), strict=True):
                 state = begin if k != last else state
                 last = k
-                state, values = step(state, at)
+                state, values = step(state, *given)
                 rows.append(values)
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("tie"), *made], names=["k", "tie", *names])
 
     kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
-    given = events.where(F.col(ts).isNotNull()).select(F.col(key).cast("long").alias("k"), micros(ts).alias("at"), F.col(tie).cast("long").alias("tie"))
+    given = events.where(F.col(ts).isNotNull()).select(F.col(key).cast("long").alias("k"), micros(ts).alias("at"), F.col(tie).cast("long").alias("tie"), *more)
     out = given.repartition("k").sortWithinPartitions("k", "at", "tie").mapInArrow(run, f"k long, tie long, {schema}")
     return out.withColumnsRenamed({"k": key, "tie": tie})
 

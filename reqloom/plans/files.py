@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqloom.sources import pdf
+from reqloom.plans.corpus import PROJECTS_SQL, REQUIREMENTS_SQL, projects, requirements
+from reqloom.session import shared_dir
+from reqloom.sources import bulk, pdf
 
 
 def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +22,25 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PDF_SQL = r"""with d as (select doc_id, nullif(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{0B}\x{FEFF}]+', ' ', 'g')), '') as text from documents)
 select doc_id, text, case when text is null then 'empty' end as defect from d"""
 
-QUERIES = {"pdf_texts": (pdf_texts, PDF_SQL)}
+
+
+def bulk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements, the jobs that found them and their projects, inserted as three batches, one of them twice, and read back."""
+    where = f"{shared_dir(spark)}/bulk-{uuid.uuid4().hex}"
+    rows, owners = requirements(spark, sf_dir), projects(spark, sf_dir)
+    for batch in (0, 1, 2, 1):
+        mine = rows.where(F.col("project_id") % 3 == batch)
+        tables = {
+            "requirement": mine.select(F.col("requirement_id").alias("id"), "project_id", F.col("text").alias("said")),
+            "job": mine.groupBy("project_id").agg(F.max("requirement_id").alias("id"), F.concat(F.lit("COMPLETE "), F.count(F.lit(1)).cast("string")).alias("said")).select("id", "project_id", "said"),
+            "project": owners.where(F.col("project_id") % 3 == batch).select(F.col("project_id").alias("id"), "project_id", F.lit("READY").alias("said")),
+        }
+        bulk.bulk_insert(tables, where, f"batch-{batch}")
+    parts = [bulk.bulk_table(spark, where, name).select(F.lit(name).alias("table"), "id", "project_id", "said") for name in ("requirement", "job", "project")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+BULK_SQL = f"""with {REQUIREMENTS_SQL}, {PROJECTS_SQL} select 'requirement' as "table", requirement_id as id, project_id, text as said from requirements
+union all select 'job', max(requirement_id), project_id, 'COMPLETE ' || count(*) from requirements group by project_id union all select 'project', project_id, project_id, 'READY' from projects"""
+
+QUERIES = {"pdf_texts": (pdf_texts, PDF_SQL), "bulk_rows": (bulk_rows, BULK_SQL)}

@@ -69,8 +69,8 @@ def job_states(events: DataFrame, job: str, ts: str, state_column: str, late: st
     return final.withWatermark(ts, late).dropDuplicatesWithinWatermark([job])
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """All that is there now, into a table of this name in memory: the form of scheduled batches."""
-    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str, checkpoint: str):
+    """All that is there now, added to a Parquet table: the form of scheduled batches. The table's log of committed files makes a repeated run add nothing twice."""
+    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return query

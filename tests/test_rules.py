@@ -193,12 +193,12 @@ def test_streams_equal_batches(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, id string")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    keyed.run_once(keyed.fixed_limit(stream(), "user_id", "ts", "event_id", 120, 3), "limits", f"{tmp_path}/c1")
+    keyed.run_once(keyed.fixed_limit(stream(), "user_id", "ts", "event_id", 120, 3), f"{tmp_path}/limits", f"{tmp_path}/c1")
     batch = keyed_time.fixed_limit(df, "user_id", "ts", "event_id", 120, 3).select("user_id", "event_id", "in_window", "allowed")
-    assert sorted(map(tuple, spark.table("limits").collect())) == sorted(map(tuple, batch.collect()))
-    keyed.run_once(keyed.first_events(stream(), "id", "ts"), "firsts", f"{tmp_path}/c2")
-    assert spark.table("firsts").select("id").distinct().count() == spark.table("firsts").count() == 7
-    keyed.run_once(keyed.lockouts(stream(), "user_id", "ts", "event_id", most=2, forget=600, lock=900), "locks", f"{tmp_path}/c3")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/limits").collect())) == sorted(map(tuple, batch.collect()))
+    keyed.run_once(keyed.first_events(stream(), "id", "ts"), f"{tmp_path}/firsts", f"{tmp_path}/c2")
+    assert spark.read.parquet(f"{tmp_path}/firsts").select("id").distinct().count() == spark.read.parquet(f"{tmp_path}/firsts").count() == 7
+    keyed.run_once(keyed.lockouts(stream(), "user_id", "ts", "event_id", most=2, forget=600, lock=900), f"{tmp_path}/locks", f"{tmp_path}/c3")
     folded = keyed_time.lockouts(df, "user_id", "ts", "event_id", most=2, forget=600, lock=900)
-    assert sorted(map(tuple, spark.table("locks").collect())) == sorted(map(tuple, folded.collect()))
-    assert spark.table("locks").count() == 60 and 0 < spark.table("locks").where("not allowed").count() < 60
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/locks").collect())) == sorted(map(tuple, folded.collect()))
+    assert spark.read.parquet(f"{tmp_path}/locks").count() == 60 and 0 < spark.read.parquet(f"{tmp_path}/locks").where("not allowed").count() < 60
