@@ -125,16 +125,16 @@ def readiness(reqs: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def linked(reqs: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Requirement rows by criterion; a section may belong to several. The criteria of a report are few: they are broadcast."""
+    """Requirement rows by criterion; a section may belong to several."""
     sections = criteria.select("criterion_id", "name", "weight", F.explode("linked_sections").alias("category"))
-    return reqs.withColumn("category", major_category(F.col("section"))).join(F.broadcast(sections), "category")
+    return reqs.withColumn("category", major_category(F.col("section"))).join(sections, "category")
 
 
 def criterion_scores(reqs: DataFrame, criteria: DataFrame) -> DataFrame:
     """A row for each project and criterion, also without requirements."""
     scored = linked(reqs, criteria).groupBy("project_id", "criterion_id").agg(weighted_score().alias("score"), F.count(F.lit(1)).alias("requirements"), F.count_if(F.col("status") == "ANSWERED").alias("answered"))
-    frame = reqs.select("project_id").distinct().withColumn("criterion", F.explode(F.array(*[F.lit(r[0]) for r in criteria.select("criterion_id").collect()])))
-    frame = frame.select("project_id", F.col("criterion").alias("criterion_id")).join(F.broadcast(criteria.select("criterion_id", "name", "weight")), "criterion_id")
+    listed = criteria.agg(F.collect_list(F.struct("criterion_id", "name", "weight")).alias("criteria"))  # one row: a report's criteria are what its author lists
+    frame = reqs.select("project_id").distinct().withColumn("criteria", listed.scalar()).select("project_id", F.inline("criteria"))
     out = frame.join(scored, ["project_id", "criterion_id"], "left")
     return out.select("project_id", "criterion_id", "name", "weight", F.coalesce("score", F.lit(100)).cast("long").alias("score"), F.coalesce("requirements", F.lit(0)).cast("long").alias("requirements"), F.coalesce("answered", F.lit(0)).cast("long").alias("answered"))
 
@@ -142,7 +142,7 @@ def criterion_scores(reqs: DataFrame, criteria: DataFrame) -> DataFrame:
 def unlinked(reqs: DataFrame, criteria: DataFrame) -> DataFrame:
     """Requirements in no criterion."""
     sections = criteria.select(F.explode("linked_sections").alias("category")).distinct()
-    return reqs.withColumn("category", major_category(F.col("section"))).join(F.broadcast(sections), "category", "left_anti")
+    return reqs.withColumn("category", major_category(F.col("section"))).join(sections, "category", "left_anti")
 
 
 def criteria_overall(reqs: DataFrame, criteria: DataFrame) -> DataFrame:
