@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,21 @@ def nested(parents: DataFrame, children: DataFrame, key: str, order: str, name:
     return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
 
 
-def jaccard_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:
-    """Pairs (a < b) of a group whose sets of words over two characters have at least such a Jaccard similarity (above, where least is exclusive).
-
-    Rows of equal sets count as one set until the end. Prefix filtering: with words ordered by rarity, two similar sets share
-    a word among the first of each, so only sets that meet on such a word are compared, once each; the sizes bound the
-    similarity before that, and words are fetched for those pairs only.
-    """
+def word_sets(rows: DataFrame, group: str, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(g, id, set of each row with words over two characters; g, set, n, words of each distinct set): a set goes by its smallest id."""
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2)))
     rows = rows.select(F.col(group).alias("g"), F.col(id_).alias("id"), words.alias("words")).where(F.size("words") > 0)
     sets = rows.groupBy("g", "words").agg(F.min("id").alias("set"), F.size(F.first("words")).alias("n"))
-    named = rows.join(sets, ["g", "words"]).select("g", "id", "set")
+    return rows.join(sets, ["g", "words"]).select("g", "id", "set"), sets
+
+
+def alike_sets(sets: DataFrame, least: float) -> DataFrame:
+    """g, s, t (s < t), similarity of the sets of a group above such a Jaccard similarity.
+
+    Prefix filtering: with words ordered by rarity, two similar sets share a word among the first of each, so only sets that
+    meet on such a word are compared, once each; the sizes bound the similarity before that, and words are fetched for those
+    pairs only.
+    """
     count = sets.select("g", "set", "n", F.explode("words").alias("word"))
     rarity = count.groupBy("g", "word").agg(F.count(F.lit(1)).alias("held"))
     place = F.row_number().over(Window.partitionBy("g", "set").orderBy("held", "word"))
@@ -33,22 +40,53 @@ def jaccard_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float
     met = near.select(F.col("a.g").alias("g"), F.col("a.set").alias("s"), F.col("b.set").alias("t")).distinct()
     words_of = lambda end: sets.select("g", F.col("set").alias(end), F.col("words").alias(f"words_{end}"))
     both = F.size(F.array_intersect("words_s", "words_t"))
-    alike = met.join(words_of("s"), ["g", "s"]).join(words_of("t"), ["g", "t"]).select("g", "s", "t", (both / (F.size("words_s") + F.size("words_t") - both)).alias("similarity")).where(F.col("similarity") > least)
+    return met.join(words_of("s"), ["g", "s"]).join(words_of("t"), ["g", "t"]).select("g", "s", "t", (both / (F.size("words_s") + F.size("words_t") - both)).alias("similarity")).where(F.col("similarity") > least)
+
+
+def alike_texts(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(group, a, b, similarity of alike sets by their smallest ids; group, the id, set of each row): no pairs of copies, however many there are."""
+    named, sets = word_sets(rows, group, id_, text)
+    pairs = alike_sets(sets, least).select(F.col("g").alias(group), F.col("s").alias("a"), F.col("t").alias("b"), "similarity")
+    return pairs, named.select(F.col("g").alias(group), F.col("id").alias(id_), "set")
+
+
+def jaccard_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:
+    """Pairs (a < b) of rows of a group above such a similarity (equal texts below 1 included): all pairs, copies too. Where copies are many, take alike_texts."""
+    named, sets = word_sets(rows, group, id_, text)
     member = lambda end, as_: named.select("g", F.col("set").alias(end), F.col("id").alias(as_))
-    unlike = alike.join(member("s", "x"), ["g", "s"]).join(member("t", "y"), ["g", "t"]).select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    unlike = alike_sets(sets, least).join(member("s", "x"), ["g", "s"]).join(member("t", "y"), ["g", "t"]).select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     equal = member("set", "a").join(member("set", "b"), ["g", "set"]).where("a < b").select("g", "a", "b", F.lit(1.0).alias("similarity"))
     return unlike.unionByName(equal if least < 1 else equal.where(F.lit(False))).withColumnRenamed("g", group)
 
 
+def _fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs in order of the later set, the later sets that meet an earlier one which has not fallen itself; names of fallen sets of one group are held."""
+    group, fallen = None, set()
+    for batch in batches:
+        new = []
+        for g, s, t in zip(*(batch.column(c).to_pylist() for c in ("g", "s", "t")), strict=True):
+            if g != group:
+                group, fallen = g, set()
+            falls = s not in fallen and t not in fallen
+            if falls:
+                fallen.add(t)
+            new.append(falls)
+        yield batch.select(["g", "t"]).filter(pa.array(new, pa.bool_()))
+
+
 def keep_first_unlike(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:
-    """Greedy near-dedup in order of id: a row goes if it is like one that was kept. Folds over a group's pairs only."""
-    pairs = jaccard_pairs(rows, group, id_, text, least)
-    by_row = pairs.groupBy(group, "b").agg(F.array_sort(F.collect_list("a")).alias("earlier"))
-    lists = by_row.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("b", "earlier"))).alias("rows"))
-    none = F.array().cast(f"array<{rows.schema[id_].dataType.simpleString()}>")
-    gone = F.aggregate("rows", none, lambda out, r: F.when(F.size(F.array_except(r["earlier"], out)) > 0, F.concat(out, F.array(r["b"]))).otherwise(out))
-    dropped = lists.select(group, F.explode(gone).alias(id_))
-    return rows.join(dropped, [group, id_], "left_anti")
+    """Greedy near-dedup in order of id: a row goes if it is like one that was kept.
+
+    Copies share the fate of the first of them, or go because of it, so only sets are compared; pairs stream through in order.
+    """
+    if least >= 1:
+        return rows
+    named, sets = word_sets(rows, group, id_, text)
+    pairs = alike_sets(sets, least).select("g", "s", "t")
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("g", "t"))
+    fallen = pairs.repartition("g").sortWithinPartitions("g", "t", "s").mapInArrow(_fall, schema).select("g", F.col("t").alias("id"))
+    gone = named.where("id <> set").select("g", "id").unionByName(fallen).withColumnsRenamed({"g": group, "id": id_})
+    return rows.join(gone, [group, id_], "left_anti")
 
 
 def ancestors(section: Column) -> Column:
@@ -65,10 +103,32 @@ def uncovered_sections(stated: DataFrame, extracted: DataFrame, key: str) -> Dat
     return stated.select(key, "section").distinct().join(above, [key, "section"], "left_anti").join(held, [key, "section"], "left_anti")
 
 
-def outside_intervals(points: DataFrame, intervals: DataFrame, key: str, at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
-    """Points of a key in none of its intervals (both ends inside)."""
-    p, i = points.alias("p"), intervals.alias("i")
-    return p.join(i, (F.col(f"p.{key}") == F.col(f"i.{key}")) & F.col(f"p.{at}").between(F.col(f"i.{start}"), F.col(f"i.{end}")), "left_anti")
+BIN_ROWS = 100_000  # points and intervals in a stretch of positions, about
+
+
+def outside_intervals(points: DataFrame, intervals: DataFrame, key: str, at: str = "at", start: str = "start", end: str = "end", bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Points of a key in none of its intervals (both ends inside); at, start and end are whole numbers or times of one type.
+
+    A sweep in place of a join: with points and starts in order, a point is inside exactly if the greatest end so far reaches
+    it. Positions fall into bins of about bin_rows rows, each swept by itself from the greatest end of the bins before it,
+    so a key with very many rows is spread over many tasks, and the cost is that of a sort.
+    """
+    whole = lambda c: F.unix_micros(c.cast("timestamp")) if points.schema[at].dataType.typeName().startswith("timestamp") else c.cast("long")
+    kept = points.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    marks = kept.select(F.struct(*points.columns).alias("point"), F.col(key).alias("k"), whole(F.col(at)).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("reach"))
+    none = F.lit(None).cast(marks.schema["point"].dataType)
+    spans = intervals.where(F.col(key).isNotNull() & (F.col(end) >= F.col(start))).select(none.alias("point"), F.col(key).alias("k"), whole(F.col(start)).alias("x"), F.lit(0).alias("kind"), whole(F.col(end)).alias("reach"))
+    both = marks.unionByName(spans)
+    low, high, n = both.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    width = max(1, -(-(high - low + 1) * bin_rows // n)) if n else 1
+    binned = both.withColumn("bin", F.floor((F.col("x") - F.lit(low or 0)) / F.lit(width)))
+    before = F.max("reach").over(Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    carried = binned.groupBy("k", "bin").agg(F.max("reach").alias("reach")).withColumn("carried", before).select("k", "bin", "carried")
+    so_far = F.max("reach").over(Window.partitionBy("k", "bin").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    swept = binned.withColumn("so_far", so_far).where("kind = 1").join(carried, ["k", "bin"])
+    reach = F.greatest("so_far", "carried")
+    outside = swept.where(reach.isNull() | (reach < F.col("x"))).select("point.*")
+    return outside.unionByName(points.where(F.col(key).isNull() | F.col(at).isNull()))
 
 
 def page(rows: DataFrame, order: list, limit: int | None = None, offset: int | None = None) -> DataFrame:
