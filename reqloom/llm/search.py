@@ -14,8 +14,9 @@ queries; components travel in the fewest bytes that hold them all. Each task giv
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without id. Shorter vectors count
 as padded with zeros, and empty ones as zeros; vectors may be of any length that fits a task in blocks. Repeated ids are
 rows of their own, but a query never meets a row of its own id. Ties go to the smaller id. An empty table, or one without
-queries, gives an empty result. Scores and components must fit 53 bits. Extra columns are dropped; quantized() replaces
-columns named v or norm2.
+queries, gives an empty result. Components may be of any finite size whose multiple is finite: where products can leave 64
+bits, Python's whole numbers take over, and a score beyond 64 bits counts as the greatest or least number there. Extra
+columns are dropped; quantized() replaces columns named v or norm2.
 """
 
 from __future__ import annotations
@@ -32,23 +33,25 @@ from reqloom.llm.common import table, written
 
 BLOCK = 1024  # vectors in a block
 GROUP = 16  # blocks in a group
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 SLACK = 1e-6  # of the lengths' product, for rounding in the rotated sums
 
 
 def quantized(df: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
     """df's usable vectors with v: floor(scale * component), and norm2."""
-    fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return df.where(fine).withColumn("v", v).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    scaled = lambda x: x.cast("double") * scale
+    fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < float("inf")))
+    v = F.transform(vector, lambda x: F.rint(scaled(x)) - F.when(F.rint(scaled(x)) > scaled(x), 1.0).otherwise(0.0))
+    return df.where(fine).withColumn("v", v).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 
 
-def gram(df: DataFrame, dims: int) -> np.ndarray:
-    """Sum of v v' over the table: dims * dims numbers, whatever the number of rows."""
+def gram(df: DataFrame, dims: int, unit: float = 1.0) -> np.ndarray:
+    """Sum of v v' over the table, in units: dims * dims numbers, whatever the number of rows."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dims, dims))
         for batch in batches:
-            x = dense(batch["v"], dims).astype(np.float64)
+            x = dense(batch["v"], dims) / unit
             total += x.T @ x
         yield pd.DataFrame({"cell": np.arange(dims * dims), "value": total.ravel()})
 
@@ -59,19 +62,20 @@ def gram(df: DataFrame, dims: int) -> np.ndarray:
 
 
 def dense(vectors, dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), dtype=np.int64)
+    """Whole numbers as doubles, which hold what scaling gave exactly; shorter vectors padded with zeros."""
+    out = np.zeros((len(vectors), dims))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
-def _pack(batches: Iterator[pd.DataFrame], dims: int, size: int, kind: str) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pd.DataFrame], dims: int, size: int, kind: str, unit: float = 1.0) -> Iterator[pd.DataFrame]:
     """Blocks of rows in the order given: block (its number), top (greatest length), n, packed (ids in 64 bits, then components as kind)."""
     ids, vectors = np.zeros(0, dtype="<i8"), np.zeros((0, dims), dtype=kind)
     number = TaskContext.get().partitionId() << 32
 
     def block(i: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        top = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1).max()))
+        top = float(np.linalg.norm(v.astype(np.float64) / unit, axis=1).max())
         return pd.DataFrame({"block": [number], "top": [top], "n": [len(i)], "packed": [i.tobytes() + v.tobytes()]})
 
     for batch in batches:
@@ -86,22 +90,33 @@ def _pack(batches: Iterator[pd.DataFrame], dims: int, size: int, kind: str) -> I
 
 
 def _unpack(packed: bytes, n: int, dims: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(packed, dtype="<i8", count=n), np.frombuffer(packed, dtype=kind, offset=8 * n).reshape(n, dims).astype(np.int64)
+    v = np.frombuffer(packed, dtype=kind, offset=8 * n).reshape(n, dims)
+    return np.frombuffer(packed, dtype="<i8", count=n), np.array([[int(x) for x in row] for row in v.tolist()], dtype=object).reshape(n, dims) if kind == "<f8" else v.astype(np.int64)
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; of Python's numbers, those beyond 64 bits as the greatest or least number there."""
+    found = vectors @ query
+    return np.array([min(max(s, LEAST), MOST) for s in found.tolist()], dtype=np.int64) if found.dtype == object else found
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]  # ~ is -scores - 1, without overflow at the least number
+
 
+def search_blocks(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int, floors: list[np.ndarray] | None = None, unit: float = 1.0) -> tuple[list[list[tuple[np.ndarray, np.ndarray]]], int]:
+    """Of each query in each query block (scores, ids): its k best in the blocks, which come by descending length, with at least the score that floors gives; and the number of exact products.
 
-def search_blocks(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int, floors: list[np.ndarray] | None = None) -> tuple[list[list[tuple[np.ndarray, np.ndarray]]], int]:
-    """Of each query in each query block (scores, ids): its k best in the blocks, which come by descending length, with at least the score that floors gives; and the number of exact products."""
+    Lengths are in units, floors and bounds in squares of units, so that sums stay within doubles.
+    """
+    square = unit * unit
     prepared = []
     for ids, vectors in blocks:
-        turned = vectors @ rotation
+        turned = (vectors.astype(np.float64) / unit) @ rotation
         prepared.append((ids, vectors, turned[:, :head], np.linalg.norm(turned[:, head:], axis=1), np.linalg.norm(turned, axis=1).max(initial=0.0)))
     out, exact = [], 0
     for at, (query_ids, query_vectors) in enumerate(queries):
-        turned = query_vectors @ rotation
+        turned = (query_vectors.astype(np.float64) / unit) @ rotation
         lengths, rest = np.linalg.norm(turned, axis=1), np.linalg.norm(turned[:, head:], axis=1)
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
         floor = np.full(len(query_ids), -np.inf) if floors is None else np.array(floors[at], dtype=np.float64)
@@ -117,30 +132,30 @@ def search_blocks(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tup
                     continue
                 if len(near) > 8 * k and floor[q] == -np.inf:  # a first floor from the most promising, so that the rest need not be computed
                     lead = near[np.argpartition(-bound[row, near], k)[: 2 * k]]
-                    sums = vectors[lead] @ query_vectors[q]
+                    sums = products(vectors[lead], query_vectors[q])
                     exact += len(lead)
-                    floor[q] = np.sort(sums)[-k]
+                    floor[q] = np.sort(sums)[-k] / square
                     near = near[bound[row, near] >= floor[q]]
-                scores, exact = vectors[near] @ query_vectors[q], exact + len(near)
+                scores, exact = products(vectors[near], query_vectors[q]), exact + len(near)
                 scores, names = np.concatenate([best[q][0], scores]), np.concatenate([best[q][1], ids[near]])
                 top_k = _best(scores, names, k)
                 best[q] = scores[top_k], names[top_k]
                 if len(top_k) == k:
-                    floor[q] = max(floor[q], scores[top_k[-1]])
+                    floor[q] = max(floor[q], scores[top_k[-1]] / square)
         out.append(best)
     return out, exact
 
 
-def search_group(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int, floors: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int, int]], int]:
+def search_group(queries: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, head: int, floors: list[np.ndarray] | None = None, unit: float = 1.0) -> tuple[list[tuple[int, int, int]], int]:
     """What search_blocks finds as (query id, id, score); and the number of exact products."""
-    found, exact = search_blocks(queries, blocks, rotation, k, head, floors)
+    found, exact = search_blocks(queries, blocks, rotation, k, head, floors, unit)
     pairs = ((q, best) for (ids, _), block in zip(queries, found, strict=True) for q, best in zip(ids, block, strict=True))
     return [(int(q), int(i), int(s)) for q, (scores, names) in pairs for s, i in zip(scores, names, strict=True)], exact
 
 
-def least_length(query_vectors: np.ndarray, floors: np.ndarray) -> float:
+def least_length(query_vectors: np.ndarray, floors: np.ndarray, unit: float = 1.0) -> float:
     """The length below which no vector reaches the floor of any of the queries."""
-    lengths = np.linalg.norm(query_vectors.astype(np.float64), axis=1)
+    lengths = np.linalg.norm(query_vectors.astype(np.float64) / unit, axis=1)
     some = (floors > 0) & (lengths > 0)  # others are reached by vectors of any length
     return float(((floors[some] - SLACK) / (lengths[some] * (1 + SLACK))).min()) if some.all() else -1.0
 
@@ -159,14 +174,15 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec
     schema = f"query_id long, rank int, {id_} long, score long"
     if not total or not dims:
         return spark.createDataFrame([], schema) if not total else _all_zero(vectors, k, id_)
-    rotation = np.linalg.svd(gram(vectors, dims))[0]
+    unit = 2.0 ** max(0, int(np.frexp(most)[1]) - 32)  # 1, unless components are large
+    rotation = np.linalg.svd(gram(vectors, dims, unit))[0]
     head = max(1, dims // 4)
     parts = max(1, -(-total // (block * group)))
-    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+    kind = "<f8" if most >= 1 << 31 or dims * int(most) ** 2 >= MOST else "<i2" if most < 1 << 15 else "<i4"
 
     def packed(rows: DataFrame, n: int) -> DataFrame:
         ordered = rows.repartitionByRange(n, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-        return written(ordered.select("id", "v").mapInPandas(lambda b: _pack(b, dims, block, kind), "block long, top double, n int, packed binary"), "blocks")
+        return written(ordered.select("id", "v").mapInPandas(lambda b: _pack(b, dims, block, kind, unit), "block long, top double, n int, packed binary"), "blocks")
 
     blocks = packed(vectors, parts)
     queries = packed(vectors.where("is_query"), max(1, parts // 50))
@@ -176,12 +192,12 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec
 
     def lead(_key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         asked = unpack(theirs)
-        found, _ = search_blocks(asked, unpack(mine.sort_values("top", ascending=False)), rotation, k, head)
-        floors = [np.array([float(scores[-1]) if len(scores) == k else -np.inf for scores, _ in best]) for best in found]
+        found, _ = search_blocks(asked, unpack(mine.sort_values("top", ascending=False)), rotation, k, head, None, unit)
+        floors = [np.array([float(scores[-1]) / unit / unit if len(scores) == k else -np.inf for scores, _ in best]) for best in found]
         repeated = [np.repeat(ids, [len(x) for _, x in best]) for (ids, _), best in zip(asked, found, strict=True)]
         join = lambda best, at: np.concatenate([x[at] for x in best])
         return theirs[["h", "n", "packed"]].assign(
-            floors=floors, reach=[least_length(v, f) for (_, v), f in zip(asked, floors, strict=True)],
+            floors=floors, reach=[least_length(v, f, unit) for (_, v), f in zip(asked, floors, strict=True)],
             query_id=repeated, id=[join(best, 1) for best in found], score=[join(best, 0) for best in found],
         )
 
@@ -197,7 +213,7 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec
     right = led.join(met, "h").select("g", "h", "n", "packed", "floors")
 
     def meet(_key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = search_group(unpack(theirs), unpack(mine.sort_values("top", ascending=False)), rotation, k, head, list(theirs["floors"]))
+        rows, _ = search_group(unpack(theirs), unpack(mine.sort_values("top", ascending=False)), rotation, k, head, list(theirs["floors"]), unit)
         return pd.DataFrame(rows, columns=["query_id", "id", "score"], dtype="int64")
 
     later = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(meet, "query_id long, id long, score long")

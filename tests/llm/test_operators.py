@@ -3,9 +3,11 @@
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -301,6 +303,25 @@ def test_short_blocks_are_not_sent(spark, monkeypatch):
     assert 1.99 < search.least_length(np.array([[3, 4], [6, 8]]), np.array([10.0, 30.0])) <= 2
 
 
+@pytest.mark.parametrize("size", [1e7, 1.3e7, 1e8, 1e10, 1e30, 1e200, 1e300])
+def test_huge_components(spark, size):
+    """Scores beyond 64 bits count as the greatest or least number there; all else is exact."""
+    rng = random.Random(3)
+    rows = [(i, [1.0, float(i)]) for i in range(1, 60)] + [(100, [size, 7.0]), (150, [-size, 3.5]), (151, [size / 3, rng.random()]), (152, [1e-300, 5e5])]
+    whole = lambda x: math.floor(Fraction(x) * 256)
+    vectors = {i: list(map(whole, v)) for i, v in rows}
+    clamp = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q, v in vectors.items():
+        if q % 50 == 0:
+            scores = sorted((-clamp(sum(a * b for a, b in zip(v, w))), i) for i, w in vectors.items() if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (search.BLOCK, 8):
+        got = search.top_inner_products(search.quantized(df), F.col("vec_id") % 50 == 0, block=block, group=2).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_components_of_any_size(spark):
     rows = [(i, [float((i * 7919) % 101 - 50) * 10**e, float(i)]) for e, at in ((2, 0), (5, 200)) for i in range(at, at + 101)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
