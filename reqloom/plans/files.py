@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reqloom.plans.corpus import PROJECTS_SQL, REQUIREMENTS_SQL, projects, requirements
 from reqloom.session import shared_dir
-from reqloom.sources import bulk, pdf
+from reqloom.sources import bulk, pdf, replies
 
 
 def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,4 +43,23 @@ def bulk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 BULK_SQL = f"""with {REQUIREMENTS_SQL}, {PROJECTS_SQL} select 'requirement' as "table", requirement_id as id, project_id, text as said from requirements
 union all select 'job', max(requirement_id), project_id, 'COMPLETE ' || count(*) from requirements group by project_id union all select 'project', project_id, project_id, 'READY' from projects"""
 
-QUERIES = {"pdf_texts": (pdf_texts, PDF_SQL), "bulk_rows": (bulk_rows, BULK_SQL)}
+def worker_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a worker, one a project and some of them broken, read as a stream in two runs; the rows and dead letters that they give."""
+    where = f"{shared_dir(spark)}/replies-{uuid.uuid4().hex}"
+    row = F.struct("section", F.col("text").alias("text"), F.col("type").alias("type"), F.col("is_mandatory").alias("isMandatory"), F.col("domain_context").alias("domainContext"))
+    lists = requirements(spark, sf_dir).where("text <> ''").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", row.alias("x")))).alias("l"))
+    said = F.to_json(F.struct(F.when(F.col("project_id") % 11 != 5, F.col("project_id")).alias("project_id"), F.transform("l", lambda x: x["x"]).alias("requirements")))
+    lines = lists.select("project_id", F.when(F.col("project_id") % 7 == 3, F.substring(said, F.lit(1), F.length(said) - 2)).otherwise(said).alias("value"))
+    for part in (0, 1):
+        lines.where(F.col("project_id") % 2 == part).select("value").write.mode("append").text(f"{where}/in")
+        replies.ingest(spark.readStream.text(f"{where}/in"), f"{where}/store", f"{where}/check", "worker")
+    rows = bulk.bulk_table(spark, f"{where}/store", "requirement").select("project_id", "ord", "text", "section", "type", "is_mandatory", "domain_context", "requires_review", F.lit(None).cast("string").alias("reason"))
+    dead = bulk.bulk_table(spark, f"{where}/store", "dead_letter").groupBy("reason").agg(F.count(F.lit(1)).cast("int").alias("ord"))
+    return rows.unionByName(dead, allowMissingColumns=True)
+
+
+REPLIES_SQL = f"""with {REQUIREMENTS_SQL}, k as (select *, (row_number() over (partition by project_id order by ord) - 1)::int as place, case when project_id % 7 = 3 then 'no reply' when project_id % 11 = 5 then 'no project' end as why from requirements where text <> '')
+select project_id, place as ord, text, section, type, is_mandatory, domain_context, domain_context = 'LEGAL' as requires_review, null::varchar as reason from k where why is null
+union all select null, count(distinct project_id)::int, null, null, null, null, null, null, why from k where why is not null group by why"""
+
+QUERIES = {"pdf_texts": (pdf_texts, PDF_SQL), "bulk_rows": (bulk_rows, BULK_SQL), "worker_replies": (worker_replies, REPLIES_SQL)}
