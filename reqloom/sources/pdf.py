@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -405,12 +406,13 @@ def strings_of(content: bytes, fonts: dict[str, tuple]) -> list[tuple]:
     def show(raw: bytes) -> None:
         nonlocal text
         wide, said, widths, other = font
-        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if wide else list(raw)
-        length = sum((widths.get(c, other) * size + between + (at_space if c == 32 and not wide else 0)) * stretch for c in codes)
+        codes = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]) if wide else raw
+        wide_as = sum([widths.get(c, other) for c in codes]) if widths else other * len(codes)
+        length = (wide_as * size + between * len(codes) + (0 if wide or not at_space else at_space * codes.count(32))) * stretch
         at, end = times(text, page), times((1, 0, 0, 1, length, 0), times(text, page))
         norm = math.hypot(at[0], at[1]) or 1.0
         a, b = at[0] / norm, at[1] / norm
-        out.append((at[4] * a + at[5] * b, end[4] * a + end[5] * b, at[5] * a - at[4] * b, abs(size) * math.hypot(at[2], at[3]), math.atan2(b, a), "".join(said.get(c, "") for c in codes)))
+        out.append((at[4] * a + at[5] * b, end[4] * a + end[5] * b, at[5] * a - at[4] * b, abs(size) * math.hypot(at[2], at[3]), math.atan2(b, a), "".join([said[c] for c in codes if c in said])))
         text = times((1, 0, 0, 1, length, 0), text)
 
     def down(x: float, y: float) -> None:
@@ -470,7 +472,7 @@ def strings_of(content: bytes, fonts: dict[str, tuple]) -> list[tuple]:
 
 
 def page_rows(path: str, content: bytes) -> list[tuple]:
-    """(path, page, instructions, fonts, defect) of each page, or one row that says why there is none."""
+    """(path, page, instructions (packed, as they travel between tasks), fonts, defect) of each page, or one row that says why there is none."""
     try:
         file = File(content)
         if file.trailer.get("Encrypt") is not None:
@@ -479,7 +481,7 @@ def page_rows(path: str, content: bytes) -> list[tuple]:
         for i, (page, resources) in enumerate(file.pages(), 1):
             drawn, fonts = file.drawn(page, resources)
             rows = [file.font(name, font) for name, font in fonts.items()]
-            out.append((path, i, drawn, [dict(zip(("name", "wide", "said", "widths", "width"), (n, w, list(s.items()), list(x.items()), o))) for n, w, s, x, o in rows], None))
+            out.append((path, i, zlib.compress(drawn, 1), [dict(zip(("name", "wide", "said", "widths", "width"), (n, w, list(s.items()), list(x.items()), o))) for n, w, s, x, o in rows], None))
         return out or [(path, None, None, None, "corrupt")]
     except (Broken, ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError):
         return [(path, None, None, None, "corrupt")]
@@ -509,7 +511,7 @@ def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, page, drawn, fonts, defect in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             known = {f["name"]: (f["wide"], dict(f["said"]), dict(f["widths"]), f["width"]) for f in fonts or []}
             rows.append((path, page, -1, *[None] * 5, "", defect))
-            rows += [(path, page, i, *s, None) for i, s in enumerate(strings_of(drawn or b"", known))]
+            rows += [(path, page, i, *s, None) for i, s in enumerate(strings_of(zlib.decompress(drawn) if drawn else b"", known))]
         yield _batch(rows, _STRING_KINDS, STRING)
 
 
@@ -570,7 +572,8 @@ def pdf_bytes(text: str) -> bytes:
     """A PDF file of the text in wrapped lines, with a code map for every letter it uses."""
     lines = wrapped(text)
     codes = {c: i for i, c in enumerate(sorted(set("".join(lines))), 1)}
-    shown = lambda s: b"<" + b"".join(b"%04X" % codes[c] for c in s) + b"> Tj T*"
+    digits = {ord(c): f"{i:04X}" for c, i in codes.items()}
+    shown = lambda s: b"<" + s.translate(digits).encode() + b"> Tj T*"
     letters = list(codes.items())
     parts = [letters[i : i + 100] for i in range(0, len(letters), 100)]
     mapped = b"\n".join(b"%d beginbfchar\n%s\nendbfchar" % (len(p), b"\n".join(b"<%04X> <%s>" % (i, c.encode("utf-16-be", "surrogatepass").hex().upper().encode()) for c, i in p)) for p in parts)
