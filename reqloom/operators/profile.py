@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def prefix_sections(text: Column, prefixes: list[str]) -> Column:
     """The parts of a text under section numbers with one of the prefixes, a blank line between; the whole text without prefixes or hits."""
     if not prefixes:
         return text
-    either = "|".join(p.replace(".", r"\.") for p in prefixes)
+    either = "|".join(map(re.escape, prefixes))
     parts = F.regexp_extract_all(text, F.lit(rf"(?md)(?:^|\n)({either}\d*(?:\.\d+)*[\s\S]*?)(?=\n(?!{either})\d+\.|$)"), F.lit(0))
     return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(text)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqloom.functions import offsets as O
 from reqloom.functions import text as N
 from reqloom.operators import extraction as X
 from reqloom.operators import parallel
@@ -84,4 +85,18 @@ def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.range_texts(docs, rows, docs.select("doc_id", F.lit("3.1").alias("first"), F.lit("3.2.99999").alias("last")))
 
 
+def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence of the documents begins, in code points and in UTF-16 units; every e stands as a letter of two units."""
+    docs = documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("e"), F.lit("\U0001f600")))
+    parts = docs.select("doc_id", F.transform(F.split("text", r"\. "), lambda x: F.length(x) + 2).alias("lengths"))
+    starts = F.transform("lengths", lambda n, i: F.aggregate(F.slice(F.col("lengths"), F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    spans = parts.select("doc_id", F.posexplode(starts).alias("nth", "start"))
+    return O.spans_in_units(spans.withColumn("unit", F.col("start")), docs, "doc_id", "text", "unit")
+
+
+UNITS_SQL = """with d as (select doc_id, string_split(replace(text, 'e', chr(128512)), '. ') as parts from documents), p as (select doc_id, unnest(parts) as said, unnest(range(len(parts))) as nth from d),
+n as (select *, length(said) + 2 as points, length(said) - length(replace(said, chr(128512), '')) as wide from p)
+select doc_id, nth::int as nth, coalesce(sum(points) over w, 0)::int as start, coalesce(sum(points + wide) over w, 0)::int as unit from n window w as (partition by doc_id order by nth rows between unbounded preceding and 1 preceding)"""
+
 QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, chunked_candidates, page_texts, profile_inputs, range_texts)}
+QUERIES["sentence_units"] = (sentence_units, UNITS_SQL)
