@@ -114,9 +114,9 @@ def number_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands for a summary of each tender, and how much text lies under two prefixes."""
+    """What stands for a summary of each tender, and the text under two prefixes."""
     docs = tenders(spark, sf_dir)
-    under = docs.select("doc_id", F.length(P.prefix_sections(F.col("text"), ["3.1", "3.2"])).alias("under"))
+    under = docs.select("doc_id", P.prefix_sections(F.col("text"), ["3.1", "3.2"]).alias("under"))
     return P.section_summary(X.detected_sections(docs)).join(under, "doc_id")
 
 

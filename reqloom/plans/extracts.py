@@ -43,10 +43,20 @@ def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extraction_stats(X.classified(tenders(spark, sf_dir)))
 
 
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenders with a profile: numeric labels under 3. only."""
+    return tenders(spark, sf_dir).withColumn("families", F.array(F.lit("numeric"))).withColumn("prefixes", F.array(F.lit("3.")))
+
+
 def guided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan by a profile: numeric labels under 3. only."""
-    docs = tenders(spark, sf_dir).withColumn("families", F.array(F.lit("numeric"))).withColumn("prefixes", F.array(F.lit("3.")))
-    return X.candidates(docs, profile=True)
+    """Scan by a profile."""
+    return X.candidates(profiled(spark, sf_dir), profile=True)
+
+
+def guided_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan by a profile finds, classified."""
+    docs = profiled(spark, sf_dir)
+    return X.classified(docs, X.candidates(docs, profile=True))
 
 
 def extraction_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +108,5 @@ UNITS_SQL = """with d as (select doc_id, string_split(replace(text, 'e', chr(128
 n as (select *, length(said) + 2 as points, length(said) - length(replace(said, chr(128512), '')) as wide from p)
 select doc_id, nth::int as nth, coalesce(sum(points) over w, 0)::int as start, coalesce(sum(points + wide) over w, 0)::int as unit from n window w as (partition by doc_id order by nth rows between unbounded preceding and 1 preceding)"""
 
-QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, extraction_bins, document_chunks, chunked_candidates, page_texts, profile_inputs, range_texts)}
+QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, guided_requirements, extraction_bins, document_chunks, chunked_candidates, page_texts, profile_inputs, range_texts)}
 QUERIES["sentence_units"] = (sentence_units, UNITS_SQL)
