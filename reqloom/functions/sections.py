@@ -77,3 +77,25 @@ def parent_section(section: Column) -> Column:
 
 def subsection_key(section: Column) -> Column:
     return F.substring_index(section, ".", 2)
+
+
+def locale_key(text: Column, locale: str = "UNICODE") -> Column:
+    """Sorts as people read: accents and case count only where letters are equal, signs come before digits, digits before letters.
+
+    Words with a sharp s against words that differ by an accent may come in another order than in other builds of ICU.
+    """
+    return F.collate(text, locale)
+
+
+def code_unit_key(text: Column) -> Column:
+    """Sorts by UTF-16 code units, in which letters beyond the first plane come before U+E000 to U+FFFF."""
+    return F.encode(text, "UTF-16BE")
+
+
+def category_keys(category: Column) -> list[Column]:
+    """Sort keys of categories: those that begin with a number by that number, all others behind them in locale order.
+
+    Comparing pairs, two by number and others by locale, gives no order where signs come before digits; this is one.
+    """
+    number = F.regexp_extract(category, r"^\s*([0-9]{1,18})", 1).try_cast("long")
+    return [number.asc_nulls_last(), F.when(number.isNull(), locale_key(category))]

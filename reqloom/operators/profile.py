@@ -70,6 +70,22 @@ def without_section(text: Column, title: Column) -> Column:
     return out.otherwise(text)
 
 
+def prompt(text: Column, most: int = 18_000) -> Column:
+    """What a model is shown of a text: its sample, and its table of contents where it has one."""
+    listed = contents(text)
+    return F.concat(sample(text, most), F.when(listed != "", F.concat(F.lit("\n\n--- TABLE OF CONTENTS ---\n"), listed)).otherwise(""))
+
+
+def guided(docs: DataFrame, profiles: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+    """docs as a scan by profile takes them: skipped sections replaced by notes, families and prefixes to look for.
+
+    Where the profile is missing or below least in confidence, the text stays whole and both are null: a scan without profile.
+    """
+    held = profiles.where(F.col("primary").isNotNull() & (F.coalesce("confidence", F.lit(0)) >= least)).select(id_, "families", "prefixes", F.col("skipped.title").alias("__titles"))
+    rest = F.aggregate(F.coalesce("__titles", F.array().cast("array<string>")), F.col(text), without_section)
+    return docs.drop("families", "prefixes").join(held, id_, "left").withColumn(text, rest).drop("__titles")
+
+
 def range_texts(docs: DataFrame, rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Text of each range (doc_id, first, last: section labels): from 200 characters before its first row to 500 after its last."""
     keyed = rows.select("doc_id", sort_key(F.col("label")).alias("key"), "start", "end")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from reqloom.functions import text as N
 from reqloom.operators import extraction as X
 from reqloom.operators import parallel
 from reqloom.operators import profile as P
+from reqloom.operators.asking import profiles
 from reqloom.plans.texts import tender_documents, varied_tenders
 from reqloom.sources.html import html_text
 
@@ -59,6 +63,23 @@ def guided_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.classified(docs, X.candidates(docs, profile=True))
 
 
+def tender_told(prompt: str) -> str:
+    """Stands in for a model: the family of the first label that stands at a line's start; no reply where there is none."""
+    heads = (("bracket", r"(?m)^\[?REQ-"), ("numeric", r"(?m)^\d+\.\d"), ("letter", r"(?m)^[A-Z]\.\d"), ("parenthetical", r"(?m)^\("))
+    found = sorted((m.start(), name) for name, p in heads for m in [re.search(p, prompt)] if m)
+    if not found:
+        raise LookupError("no labels")
+    return json.dumps({"primaryPatternFamily": found[0][1], "skipSections": [{"title": "Scope of Work", "reason": "examples"}], "metadata": {"estimatedRequirementCount": 9}, "confidence": 90})
+
+
+def profiled_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenders profiled, then scanned each by its own profile (those without a profile as without one), and classified."""
+    docs = tenders(spark, sf_dir)
+    made = profiles(docs, tender_told, P.prompt(F.col("text")), tasks=int(spark.conf.get("spark.sql.shuffle.partitions")), wait=lambda s: None)
+    ready = P.guided(docs, made)
+    return X.classified(ready, X.candidates(ready, profile=True))
+
+
 def extraction_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.bins(X.candidates(tenders(spark, sf_dir)), 3)
 
@@ -108,5 +129,5 @@ UNITS_SQL = """with d as (select doc_id, string_split(replace(text, 'e', chr(128
 n as (select *, length(said) + 2 as points, length(said) - length(replace(said, chr(128512), '')) as wide from p)
 select doc_id, nth::int as nth, coalesce(sum(points) over w, 0)::int as start, coalesce(sum(points + wide) over w, 0)::int as unit from n window w as (partition by doc_id order by nth rows between unbounded preceding and 1 preceding)"""
 
-QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, guided_requirements, extraction_bins, document_chunks, chunked_candidates, page_texts, profile_inputs, range_texts)}
+QUERIES = {f.__name__: (f, None) for f in (pattern_families, section_map, requirement_candidates, extracted_requirements, extraction_stats, guided_candidates, guided_requirements, profiled_requirements, extraction_bins, document_chunks, chunked_candidates, page_texts, profile_inputs, range_texts)}
 QUERIES["sentence_units"] = (sentence_units, UNITS_SQL)

@@ -223,6 +223,24 @@ SORT_SQL = f"""with {REQUIREMENTS_SQL} select project_id, requirement_id, """ +
 ) + " from requirements"
 
 
+def locale_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each row in its project by section, type and text in locale order, and of its category among the project's."""
+    label = F.coalesce(F.nullif(F.col("section_group"), F.lit("")), F.col("section"))
+    reqs = requirements(spark, sf_dir).withColumn("category", S.major_category(label))
+    project = Window.partitionBy("project_id")
+    place = lambda c: F.row_number().over(project.orderBy(S.locale_key(F.coalesce(c, F.lit(""))), "ord"))
+    mixed = F.when(F.col("ord") % 2 == 0, F.upper("text")).otherwise(F.col("text"))
+    category = F.dense_rank().over(project.orderBy(*S.category_keys(F.col("category"))))
+    return reqs.select("project_id", "requirement_id", place(F.col("section")).alias("by_section"), place(F.col("type")).alias("by_type"), place(mixed).alias("by_text"), "category", category.alias("category_place"))
+
+
+LOCALE_SQL = f"""with {REQUIREMENTS_SQL}, c as (select *, {category_sql(LABEL)} as category, case when ord % 2 = 0 then upper(text) else text end as mixed from requirements),
+k as (select *, try_cast(nullif(regexp_extract(category, '^\\s*([0-9]{{1,18}})', 1), '') as bigint) as number from c)
+select project_id, requirement_id, (row_number() over (partition by project_id order by coalesce(section, '') collate en, ord))::int as by_section,
+  (row_number() over (partition by project_id order by coalesce(type, '') collate en, ord))::int as by_type, (row_number() over (partition by project_id order by coalesce(mixed, '') collate en, ord))::int as by_text,
+  category, (dense_rank() over (partition by project_id order by number nulls last, (case when number is null then category end) collate en))::int as category_place from k"""
+
+
 def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section labels with their keys, and their place in section order."""
     labels = requirements(spark, sf_dir).select("project_id", "requirement_id", "section")
@@ -269,6 +287,7 @@ QUERIES = {
     "filter_counts": (filter_counts, COUNTS_SQL),
     "section_stats": (section_stats, STATS_SQL),
     "matrix_sort": (matrix_sort, SORT_SQL),
+    "locale_orders": (locale_orders, LOCALE_SQL),
     "section_order": (section_order, ORDER_SQL),
     "qa_groups": (qa_groups, QA_SQL),
 }
