@@ -4,8 +4,10 @@ Fertility of a document under a public vocabulary with byte fallback: characters
 tokens that are byte fallbacks, and the Shannon entropy of its token distribution. A document is rejected if one of the
 three leaves the band of its language; for an unknown or null language the band of its commonest script is taken.
 Entropy grows with length, so its floor is a line over log2(tokens); so is that of characters a token, as one long key
-weighs more in a short document. Documents under 2**LEAST tokens are too short for
-the three figures to mean anything, and pass. Bands were set once below what clean text shows, to reject only outliers.
+weighs more in a short document; one character of four bytes more than the share is always let through. Every length is
+judged. Bands were set once below what clean text shows, to reject only outliers: under 64 tokens, clean texts with keys
+and addresses go down to 1.12 characters a token, where noise of consonants has 1.25 to 1.6, so short noise stays unless it
+falls apart into single characters, bytes or repeats.
 
 Null and empty texts have no words and fail the base rules. Each row is judged on its own, so ties and repeated rows do
 not matter; empty tables give empty results; extra columns travel along.
@@ -25,18 +27,18 @@ from pyspark.sql import types as T
 from reqloom.llm.common import WHITE, table, tokenizer_file
 
 VOCABULARY = "piece_bpe_32k.model"
-LEAST = 6
 SYMBOLS = "#*$%&|<>"
+ONE_CHARACTER = 4  # byte fallbacks of one character at most
 #: Of each language or script: floor of characters a token as (log2 tokens, characters) points, most characters a token, most byte-fallback share, entropy floor as (log2 tokens, bits) points.
 BANDS = {
-    "en": (((6, 1.1), (8, 1.55)), 5.5, 0.20, ((6, 3.9), (7, 5.2), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.35), (12, 6.45), (13, 6.5))),
-    "fr": (((6, 1.1), (8, 1.45)), 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
-    "de": (((6, 1.1), (8, 1.45)), 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
-    "es": (((6, 1.1), (8, 1.45)), 5.0, 0.20, ((6, 3.9), (7, 5.2), (8, 5.6), (9, 5.9), (10, 6.15), (11, 6.3), (12, 6.35), (13, 6.4))),
-    "LATIN": (((6, 1.1), (8, 1.3)), 6.0, 0.25, ((6, 3.5), (9, 5.2), (13, 5.8))),
-    "GREEK": (((6, 0.8),), 4.0, 0.30, ((6, 3.0), (9, 4.2), (13, 4.8))),
-    "CYRILLIC": (((6, 1.0),), 5.0, 0.30, ((6, 3.5), (9, 5.0), (13, 5.6))),
-    "OTHER": (((6, 0.2),), 6.0, 0.60, ((6, 2.5), (13, 3.5))),
+    "en": (((3, 0.95), (6, 1.1), (8, 1.55)), 5.5, 0.20, ((3, 2.0), (4, 2.8), (5, 3.3), (6, 3.9), (7, 5.2), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.35), (12, 6.45), (13, 6.5))),
+    "fr": (((3, 0.95), (6, 1.1), (8, 1.45)), 5.0, 0.20, ((3, 2.0), (4, 2.8), (5, 3.3), (6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
+    "de": (((3, 0.95), (6, 1.1), (8, 1.45)), 5.0, 0.20, ((3, 2.0), (4, 2.8), (5, 3.3), (6, 3.9), (7, 5.2), (8, 5.65), (9, 5.9), (10, 6.1), (11, 6.25), (12, 6.3), (13, 6.35))),
+    "es": (((3, 0.95), (6, 1.1), (8, 1.45)), 5.0, 0.20, ((3, 2.0), (4, 2.8), (5, 3.3), (6, 3.9), (7, 5.2), (8, 5.6), (9, 5.9), (10, 6.15), (11, 6.3), (12, 6.35), (13, 6.4))),
+    "LATIN": (((3, 0.95), (6, 1.1), (8, 1.3)), 6.0, 0.25, ((3, 2.0), (4, 2.8), (5, 3.2), (6, 3.5), (9, 5.2), (13, 5.8))),
+    "GREEK": (((6, 0.8),), 4.0, 0.30, ((3, 1.8), (6, 3.0), (9, 4.2), (13, 4.8))),
+    "CYRILLIC": (((6, 1.0),), 5.0, 0.30, ((3, 2.0), (4, 2.8), (5, 3.2), (6, 3.5), (9, 5.0), (13, 5.6))),
+    "OTHER": (((6, 0.2),), 6.0, 0.60, ((3, 1.5), (6, 2.5), (13, 3.5))),
 }
 SCRIPTS = (("LATIN", re.compile(r"[A-Za-zÀ-ɏ]")), ("GREEK", re.compile(r"[Ͱ-Ͽ]")), ("CYRILLIC", re.compile(r"[Ѐ-ӿ]")))
 MEASURES = T.StructType(
@@ -101,14 +103,15 @@ def fertility(ids: np.ndarray, word_chars: int, is_byte: np.ndarray) -> tuple[fl
 
 def verdict(n_tokens: int, figures: tuple[float, float, float], band: tuple) -> bool:
     low, high, most_bytes, floor = band
-    if n_tokens < 2**LEAST:
-        return True
+    if not n_tokens:
+        return False
     least = lambda points: np.interp(np.log2(n_tokens), *zip(*points, strict=True))
-    return bool(least(low) <= figures[0] <= high and figures[1] <= most_bytes and figures[2] >= least(floor))
+    return bool(least(low) <= figures[0] <= high and figures[1] <= most_bytes + ONE_CHARACTER / n_tokens and figures[2] >= least(floor))
 
 
 def _measure(batches: Iterator[pa.RecordBatch], model_file: str, bands: dict) -> Iterator[pa.RecordBatch]:
     model, is_byte = vocabulary(model_file)
+    languages = bands.keys() - {"OTHER", *(name for name, _ in SCRIPTS)}
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -116,7 +119,7 @@ def _measure(batches: Iterator[pa.RecordBatch], model_file: str, bands: dict) ->
             rows = []
             for text, lang, ids in zip(texts, part.column("__lang").to_pylist(), model.encode(texts, out_type=int, num_threads=1), strict=True):
                 base, ids = base_measures(text), np.asarray(ids, dtype=np.int64)
-                band = lang if lang in bands else script_of(text)
+                band = lang if lang in languages else script_of(text)
                 figures = fertility(ids, base[1], is_byte)
                 rows.append((*base, *figures, band, bool(not base[-1] and verdict(len(ids), figures, bands[band]))))
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)]

@@ -9,7 +9,9 @@ Allow-list patterns suppress candidates (added spans only; the pattern kinds alw
 Spark's match functions give no offsets: they are summed from the lengths of the matches and of the pieces between them,
 in blocks, so a text with very many matches costs no quadratic time.
 
-Null and empty texts have no spans. Ties and repeated rows: each row is scanned on its own. Extra columns travel along.
+Null and empty texts have no spans, and an empty table gives an empty one. Very long texts are scanned whole, in time that
+grows with their length. Ties and repeated rows: each row is scanned on its own. Extra columns travel along, whatever their
+names; columns called base_spans or all_spans give way to the results.
 """
 
 from __future__ import annotations
@@ -37,14 +39,18 @@ CLASSES = (
     ("digits", r"^[0-9+/_=-]+$", "0123456789+/_=-", 20, 3.1),
 )
 _PART = r"(?:[A-Za-z]?[a-z]++[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]{1,4}+)"
+_LOWER = r"(?:(?=[a-z]{0,14}[aeiouy])[a-z]{2,15}+|a)"
+_CAPITAL = r"(?:[AEIOUY][a-z]{1,14}+|[A-Z](?=[a-z]{0,13}[aeiouy])[a-z]{1,14}+)"
+_WORDS = rf"(?:{_LOWER}?+{_CAPITAL}++|{_LOWER}|[0-9]{{1,8}}+)"
 _NAME = rf"{_PART}(?:[_-]{_PART})*+"
-#: Candidates that match one of these are no secrets: UUIDs, placeholders of 64 characters or less, and what consists of nothing but runs of the alphabet or of digits, of one character, or of a path of three word-like parts or more.
+#: Candidates that match one of these are no secrets: UUIDs, placeholders of 64 characters or less, and what consists of nothing but runs of the alphabet or of digits, of one character, of a path of three word-like parts or more, or of words (with a vowel, of 15 letters at most) and numbers, the words run together by capitals or all parted by single signs.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"(?i)^(?=.*(?:example|placeholder|changeme|sample|dummy|your_)).{1,64}$",
     r"(?i)^(?:abcdef(?:gh(?:ij(?:klmnop(?:qrstuvwxyz)?)?)?)?|0|1234567(?:89?)?|[+/_=-])++$",
     r"^(.)\1{7,}$",
     rf"^/*+(?:{_NAME}/){{3,}}+(?:{_NAME})?$",
+    rf"^[+/_-]?+{_WORDS}(?:[/_-]{_WORDS})*+[/_=-]?+$",
 )
 SCALE = 1 << 20
 BLOCK = 512
@@ -133,8 +139,8 @@ SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 def scan_secrets(df: DataFrame, text: str = "text", classes: tuple = CLASSES, allow: tuple = ALLOW) -> DataFrame:
     """df with base_spans and all_spans: arrays of (start, ord, kind, end) by start, then kind; code points, end exclusive."""
-    kept = df.columns
-    df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    kept = [c for c in df.columns if c not in ("base_spans", "all_spans")]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     low = F.lower("__text")
     keyword = F.greatest(*[F.contains(low, F.lit(w)) for w in ("passw", "secret", "token", "apikey", "api_key")])
     df = _matches(df, "__text", "assign", ASSIGN, keyword, 2)
@@ -146,7 +152,7 @@ def scan_secrets(df: DataFrame, text: str = "text", classes: tuple = CLASSES, al
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
     df = df.withColumn("base_spans", F.array_sort(F.concat(plain("__assign"), plain("__access"), plain("__hex"))))
     df = df.withColumn("all_spans", F.array_sort(F.concat("base_spans", "__entropy")))
-    return df.select(*kept, "base_spans", "all_spans")
+    return df.select("__row.*", "base_spans", "all_spans")
 
 
 def joined(spans: str) -> Column:

@@ -508,7 +508,12 @@ def test_quality(docs, empty):
 
 def test_quality_bands():
     band = quality.BANDS["en"]
-    assert quality.verdict(10, (9.0, 1.0, 0.0), band)  # too short to tell
+    for n in (10, 16, 33, 63, 64, 70):  # every length is judged
+        fair = np.log2(n) - 0.3
+        assert quality.verdict(n, (2.2, 0.0, fair), band) and quality.verdict(n, (2.2, 4 / n, fair), band)
+        assert not quality.verdict(n, (0.9, 0.0, fair), band) and not quality.verdict(n, (5.6, 0.0, fair), band)
+        assert not quality.verdict(n, (2.2, 0.7, fair), band) and not quality.verdict(n, (2.2, 0.0, 1.5), band)
+    assert not quality.verdict(0, (0.0, 0.0, 0.0), band)
     assert quality.verdict(512, (2.2, 0.01, 6.5), band)
     assert not quality.verdict(512, (0.9, 0.01, 6.5), band)
     assert not quality.verdict(512, (2.2, 0.5, 6.5), band)
@@ -516,6 +521,39 @@ def test_quality_bands():
     assert quality.script_of("привет мир") == "CYRILLIC" and quality.script_of("日本語") == "OTHER" and quality.script_of("") in quality.BANDS
 
 
+def test_quality_against_a_plain_reading(spark):
+    """Verdicts and bands recomputed from the texts, of all lengths; a language named like a script does not pick its band."""
+    model, is_byte = quality.vocabulary(quality.VOCABULARY)
+    rng = random.Random(7)
+    word = lambda signs: "".join(rng.choice(signs) for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word(signs) for _ in range(n)) for n in (10, 12, 20, 40, 200) for signs in ("aeinrst", "bcdfgxz", "0", "ᐁᐂᐃ", "абвгд", "αβγδ", "ab12XY")]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("en", "de", "LATIN", "OTHER", "xx", None))]
+    verdicts = collections.Counter()
+    for r in quality.measure_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        ids = model.encode(r.text)
+        share = sum(bool(is_byte[i]) for i in ids) / len(ids)
+        letters = {"LATIN": 0, "GREEK": 0, "CYRILLIC": 0}
+        for c in r.text:
+            for name, low, high in (("LATIN", "A", "\u024f"), ("GREEK", "\u0370", "\u03ff"), ("CYRILLIC", "\u0400", "\u04ff")):
+                letters[name] += c.isalpha() and low <= c <= high
+        most = max(letters, key=letters.get)
+        band = r.lang if r.lang in ("en", "de") else most if 2 * letters[most] >= r.word_chars else "OTHER"
+        low, high, most_bytes, floor = quality.BANDS[band]
+
+        def line(points, x=math.log2(len(ids))):
+            if x <= points[0][0]:
+                return points[0][1]
+            for (a, u), (b, v) in zip(points, points[1:]):
+                if x <= b:
+                    return u + (v - u) * (x - a) / (b - a)
+            return points[-1][1]
+
+        good = line(low) <= r.word_chars / len(ids) <= high and share <= most_bytes + 4 / len(ids) and r.token_entropy >= line(floor)
+        assert (r.band, r.byte_share, r.kept) == (band, pytest.approx(share), good and not r.base_failed), r
+        verdicts[r.kept, r.base_failed] += 1
+    assert verdicts[True, False] > 20 and verdicts[False, False] > 20
+
+
 def test_quality_rejects_noise():
     import base64
 
@@ -634,7 +672,7 @@ def scanned(text):
     out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     base = sorted(out)
     for m in re.finditer(secrets.CANDIDATE, text):
-        if not re.search("[0-9]", m[0]) or any(re.search(a, m[0]) for a in secrets.ALLOW):
+        if any(re.search(a, m[0]) for a in secrets.ALLOW):
             continue
         for name, full, _, window, bits in secrets.CLASSES:
             if re.search(full, m[0]):
@@ -668,6 +706,44 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_of_every_class(spark):
+    """Random candidates of each class, and words between them, against the plain reading."""
+    rng = random.Random(21)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    texts = []
+    for signs in (lower, upper, digits, lower + upper, lower + digits, upper + digits, lower + upper + digits + "+/", "0123456789abcdef", "0123456789ABCDEF", "ab", "aB-", digits + "-"):
+        for _ in range(12):
+            texts.append(" ".join("".join(rng.choice(signs) for _ in range(rng.choice((19, 20, 23, 24, 25, 40, 64)))) for _ in range(4)))
+    found = collections.Counter()
+    for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        base, spans = scanned(r.text)
+        assert [tuple(x) for x in r.base_spans] == base and [tuple(x) for x in r.all_spans] == spans, r.text
+        for start, _, kind, end in spans:
+            said = r.text[start:end]
+            found[kind == "entropy" and ("letters" if said.isalpha() and not (said.islower() or said.isupper()) else "onecase" if said.isalpha() else "digits" if said.isdigit() else "other")] += 1
+    assert min(found[k] for k in ("letters", "onecase", "digits", "other")) > 5
+
+
+def test_words_are_no_secrets(spark):
+    plain = ["the-quick-brown-fox-jumps-over-the-lazy-dog-while-running", "TheQuickBrownFoxJumpsOverTheLazyDogAndRuns", "AbstractSingletonProxyFactoryBeanConfigurationTest", "+49-170-1234567-890-12",
+             "news/2023/11/04/quarterly-report-of-the-company", "docs/2023-11-04_quarterly-report-of-sales", "getUserAccountByIdAndRegion", "a-long-title-about-a-river-in-2024", "the-" * 200_000 + "end", "TheEnd" * 100_000]
+    assert not any(entropy_spans(spark, plain))
+    rng = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(pick) for _ in range(40)) for pick in (signs, signs[:52], signs[26:62], signs[26:52], "0123456789abcdef") for _ in range(40)]
+    assert sum(map(bool, entropy_spans(spark, keys))) >= 195
+    assert all(entropy_spans(spark, [f"the-quick-brown-{k}-fox" for k in keys[:40]]))
+
+
+def test_secrets_of_clashing_columns(spark):
+    rows = spark.createDataFrame([("token=abcdefgh1", 1, "x", "y", "z", "w", 2)], "text string, doc_id long, __text string, __assign string, __row string, base_spans string, kind long")
+    out = secrets.scan_secrets(rows)
+    assert out.columns == ["text", "doc_id", "__text", "__assign", "__row", "kind", "base_spans", "all_spans"]
+    r = out.first()
+    assert (r["__text"], r["__assign"], r["__row"], r.kind) == ("x", "y", "z", 2) and [x.kind for x in r.base_spans] == ["assign"]
+    assert secrets.scan_secrets(rows.limit(0)).count() == 0
+
+
 def entropy_spans(spark, texts):
     rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     return [[(x.start, x.end) for x in r.all_spans if x.kind == "entropy"] for r in rows]
