@@ -14,21 +14,33 @@ OUTSIDE = r"[\x{10000}-\x{10FFFF}]"
 
 def wide_places(text: Column) -> Column:
     """Code point places of the letters that take two units, ascending; null text has none."""
-    lengths = F.transform(F.split(text, OUTSIDE), F.length)
-    begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("found"))
-    walked = F.aggregate(lengths, begin, lambda a, n: F.struct((a["next"] + n + 1).alias("next"), F.concat(a["found"], F.array(a["next"] + n)).alias("found")))
-    found = F.when(text.rlike(OUTSIDE), F.slice(walked["found"], F.lit(1), F.size(lengths) - 1))
+    placed = F.transform(F.split(text, ""), lambda c, i: F.when(c >= "\U00010000", i))
+    found = F.when(text.rlike(OUTSIDE), F.filter(placed, lambda i: i.isNotNull()))
     return F.coalesce(found, F.array().cast("array<int>"))
 
 
+def _below(wide: Column, at: Column, value) -> Column:
+    """How many places have a value(place, number) under at, by halving; values ascend."""
+    whole = F.struct(F.lit(0).alias("low"), F.size(wide).alias("high"))
+
+    def halved(a, _):
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        left = a["low"] < a["high"]
+        under = left & (value(F.get(wide, middle), middle) < at)
+        return F.struct(F.when(under, middle + 1).otherwise(a["low"]).alias("low"), F.when(left & ~under, middle).otherwise(a["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(wide) + F.lit(1))).cast("int") + 1)
+    return F.when(F.size(wide) == 0, 0).otherwise(F.aggregate(steps, whole, halved)["low"])
+
+
 def to_units(at: Column, wide: Column) -> Column:
     """The UTF-16 unit at which the code point begins."""
-    return at + F.size(F.filter(wide, lambda w: w < at))
+    return at + _below(wide, at, lambda w, i: w)
 
 
 def to_points(unit: Column, wide: Column) -> Column:
     """The code point at a UTF-16 unit; for the second half of a letter, that letter."""
-    return unit - F.size(F.filter(F.transform(wide, lambda w, i: w + i), lambda u: u < unit))
+    return unit - _below(wide, unit, lambda w, i: w + i)
 
 
 def spans_in_units(spans: DataFrame, docs: DataFrame, key: str, text: str, *places: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqloom.functions import offsets as O
@@ -119,9 +119,9 @@ def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each sentence of the documents begins, in code points and in UTF-16 units; every e stands as a letter of two units."""
     docs = documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("e"), F.lit("\U0001f600")))
-    parts = docs.select("doc_id", F.transform(F.split("text", r"\. "), lambda x: F.length(x) + 2).alias("lengths"))
-    starts = F.transform("lengths", lambda n, i: F.aggregate(F.slice(F.col("lengths"), F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    spans = parts.select("doc_id", F.posexplode(starts).alias("nth", "start"))
+    parts = docs.select("doc_id", F.posexplode(F.transform(F.split("text", r"\. "), lambda x: F.length(x) + 2)).alias("nth", "points"))
+    before = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    spans = parts.select("doc_id", "nth", F.coalesce(F.sum("points").over(before), F.lit(0)).cast("int").alias("start"))
     return O.spans_in_units(spans.withColumn("unit", F.col("start")), docs, "doc_id", "text", "unit")
 
 

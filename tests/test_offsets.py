@@ -22,3 +22,14 @@ def test_places(spark):
     assert got == sorted([(i, units(texts[i], n), units(texts[i], len(texts[i]))) for i, _, n in rows] + [(999, 5, 6)])
     none = spark.createDataFrame([(None,)], "text string")
     assert none.select(O.wide_places(F.col("text"))).first()[0] == []
+
+
+def test_texts_full_of_wide_letters(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("a\U0001f600\U00010000\uffff") for _ in range(n)) for n in (1, 2, 3, 31, 32, 33, 1000)] + ["\U0001f600" * 64, "a" * 64, ""]
+    rows = [(t, at) for t in texts for at in range(0, len(t) + 1, max(1, len(t) // 40))]
+    wide = O.wide_places(F.col("text"))
+    unit = O.to_units(F.col("at"), F.col("wide"))
+    out = spark.createDataFrame(rows, "text string, at int").withColumn("wide", wide).withColumn("unit", unit).withColumn("back", O.to_points(F.col("unit"), F.col("wide")))
+    for r in out.collect():
+        assert r.wide == [i for i, c in enumerate(r.text) if ord(c) > 0xFFFF] and r.unit == len(r.text[: r.at].encode("utf-16-le")) // 2 and r.back == r.at
