@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,13 @@ WINDOW = 2048
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4 << 20
 PART_TOKENS = 16 << 20  # in one task, which packs its shards one after the other
+PART_BYTES = 6 << 20  # of text that is encoded at a time
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens binary"
 
 
 def word_engine(vocabulary: str):
-    """(encoding, packed ids by rank): the vocabulary's merges for words in lower case, in an engine several times as fast.
+    """(encoding, ids by rank, -1 for none, whether a rank ends a word): the vocabulary's merges for words in lower case, in an engine several times as fast.
 
     The engine merges the adjacent pair whose joined bytes have the lowest rank; the vocabulary's library merges the listed
     pair of the lowest rank. They agree where each token has one listed pair and its own bytes merge to itself (by
@@ -55,8 +57,8 @@ def word_engine(vocabulary: str):
         model = json.load(f)["model"]
     ranks = ranks_of(model["merges"])
     ids = {token_of(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
-    packed = [np.array([ids[b]], dtype="<u4").tobytes() if b in ids else b"" for b in ranks]
-    return tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={}), packed
+    by_rank, last = np.array([ids.get(b, -1) for b in ranks]), np.array([b.endswith(BREAK) for b in ranks])
+    return tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={}), by_rank, last
 
 
 BREAK, MARK = b"\n", "</w>"
@@ -88,22 +90,32 @@ def ranks_of(merges: list) -> dict[bytes, int]:
     return ranks
 
 
+def lowered(word: str) -> str:
+    """A word of letters, lowered letter by letter as the vocabulary's normalizer does; empty for any other."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else ""
+    low = "".join(map(str.lower, word)) if word.isalpha() and unicodedata.is_normalized("NFC", word) else ""
+    return low if low.isalpha() else ""
+
+
 class TokenBytes(dict):
     """Token ids of white-space-free strings as little-endian 32-bit numbers, kept up to a number of strings.
 
     The vocabulary's tokenizer drops white space and never looks across it, so a text's ids are those of its strings in a
     row. It splits letters from signs that follow and lowers them letter by letter: so a word of letters goes, lowered, to
-    the fast engine, signs after it go on their own, and all else goes to the tokenizer.
+    the fast engine, signs after it go on their own, and all else goes to the tokenizer. The engine takes many words in one
+    call, which costs less than to keep them and look them up; only the strings between are kept.
     """
 
     MOST = 400_000
+    AT_ONCE = 1 << 15
 
     def __init__(self, vocabulary: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(vocabulary))
-        self.engine, self.packed = word_engine(vocabulary)
+        self.engine, self.ids, self.last = word_engine(vocabulary)
         self[""] = b""
 
     def make_room(self) -> None:
@@ -117,18 +129,35 @@ class TokenBytes(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
             self.make_room()
-        core = word.rstrip(MARKS)
+        core, low = word.rstrip(MARKS), lowered(word)
         if core != word:
             whole = core.isalpha() and "İ" not in core  # lowered, that letter ends in a sign of its own
             value = self[core] + self[word[len(core) :]] if whole else self.tokenized(word)
-        elif word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            low = "".join(map(str.lower, word))  # letter by letter, as the vocabulary's normalizer
-            value = b"".join(map(self.packed.__getitem__, self.engine.encode_ordinary(low + "\n"))) if low.isalpha() else self.tokenized(word)
         else:
-            value = self.tokenized(word)
+            value = self.merged([low])[0] if low else self.tokenized(word)
         self[word] = value
         return value
 
+    def of(self, words: list[str]) -> list[bytes]:
+        """Of many strings, AT_ONCE by a call of the engine."""
+        return [tokens for at in range(0, len(words), self.AT_ONCE) for tokens in self.of_some(words[at : at + self.AT_ONCE])]
+
+    def of_some(self, words: list[str]) -> list[bytes]:
+        cores = [w.rstrip(MARKS) for w in words]
+        lows = list(map(lowered, cores))
+        found = iter(self.merged([x for x in lows if x]))
+        return [next(found) + self[w[len(c) :]] if x else self[w] for w, c, x in zip(words, cores, lows, strict=True)]
+
+    def merged(self, lows: list[str]) -> list[bytes]:
+        """Of words of letters in lower case, by one call of the engine."""
+        if not lows:
+            return []
+        ranks = np.array(self.engine.encode_ordinary("\n".join(lows) + "\n"))
+        ids = self.ids[ranks]
+        ends = (4 * np.cumsum(ids >= 0)[self.last[ranks]]).tolist()
+        tokens = ids[ids >= 0].astype("<u4").tobytes()
+        return [tokens[a:b] for a, b in zip([0, *ends], ends)]
+
     def tokenized(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -140,9 +169,25 @@ _LOADED: dict[str, TokenBytes] = {}
 
 def token_bytes(text: str | None, vocabulary: str = VOCABULARY) -> bytes:
     """The ids of the whole text, without special tokens, as little-endian 32-bit numbers."""
+    return encoded_texts(pa.array([text], pa.string()), vocabulary)[0]
+
+
+def encoded_texts(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[bytes]:
+    """token_bytes of each text. A string that is found several times in them is encoded once."""
     if vocabulary not in _LOADED:
         _LOADED[vocabulary] = TokenBytes(vocabulary)
-    return b"".join(map(_LOADED[vocabulary].__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+    words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+    coded = words.flatten().dictionary_encode()
+    tokens = pa.array(_LOADED[vocabulary].of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+    lists = (pa.LargeListArray if pa.types.is_large_list(words.type) else pa.ListArray).from_arrays(words.offsets, tokens)
+    return pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
+
+
+def parts(batch: pa.RecordBatch, text: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, in each of which the texts after the first have fewer bytes than most."""
+    place = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
 
 class Index:
@@ -257,9 +302,8 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, seed: int) -> It
     draws = _draws(seed, 1 << 17), _draws(seed + 1, 1 << 17)
     end = np.array([END], dtype="<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            raw = [token_bytes(t, vocabulary) for t in part.column("text").to_pylist()]
+        for part in parts(batch, "text"):
+            raw = encoded_texts(part.column("text"), vocabulary)
             ids = [np.frombuffer(r, dtype="<u4") for r in raw]
             keys = [content_key(i, draws) if not len(i) or int(i.max()) < 1 << 17 else int(i.max()) for i in ids]
             tokens = [narrow(r + end) for r in raw]

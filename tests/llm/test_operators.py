@@ -139,6 +139,50 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(packing.token_bytes(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_words_take_few_calls_of_the_engine(monkeypatch):
+    """A word is not a call of the engine each (422 CPU seconds a GB in round 3), and words that texts share are told apart by place."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from reqloom.llm.common import tokenizer_file
+
+    class Counted:
+        def __init__(self, engine):
+            self.engine, self.calls = engine, 0
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.engine.encode_ordinary(text)
+
+    known = packing.TokenBytes(packing.VOCABULARY)
+    known.engine = Counted(known.engine)
+    monkeypatch.setitem(packing._LOADED, packing.VOCABULARY, known)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdluéü") for _ in range(rng.randint(3, 14))) + rng.choice(["", ",", ".\n", "?!"]) for _ in range(3000)]
+    words += ["It's", "İstanbul,", "É.", "é,", "<|endoftext|>", "<|ENDOFTEXT|>", "3,5", "x..,,", "ﬁne", "\t", "...", "日本", "ΣΑΣ.", "Aa-b"]
+    texts = [None, "", "\n", *(" ".join(rng.choice(words).capitalize() if rng.random() < 0.1 else rng.choice(words) for _ in range(60)) for _ in range(400)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "order", "text"])
+    got = [r for b in packing._encode(iter([batch.slice(0, 150), batch.slice(150), batch.slice(0, 0)]), packing.VOCABULARY, 5) for r in b.to_pylist()]
+    tokenizer = Tokenizer.from_file(tokenizer_file(packing.VOCABULARY))
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    for r, t in zip(got, texts, strict=True):
+        want = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(packing.wide(r["tokens"], r["n"]), "<u4").tolist() == want and r["n"] == len(want)
+    assert known.engine.calls < 20, known.engine.calls
+
+
+def test_parts_hold_every_row():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "", "b" * 100, "c", None, "d" * 30, "e" * 7, "f" * 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for most in (1, 8, 16, 1000):
+        found = list(packing.parts(batch, "text", most))
+        assert [x for b in found for x in b.column("text").to_pylist()] == texts
+        assert all(sum(len(x or "") for x in b.column("text").to_pylist()[1:]) < most for b in found)
+    assert list(packing.parts(batch.slice(0, 0), "text")) == []
+
+
 def test_word_engine_agrees_with_the_vocabulary():
     """Each token has one listed pair, and its own bytes merge to itself: the condition under which the two engines agree."""
     import json
