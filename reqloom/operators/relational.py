@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,17 @@ def nested(parents: DataFrame, children: DataFrame, key: str, order: str, name:
     return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
 
 
+SMALL = 1000  # rows of a group that a single task compares
+
+
+def _words(text: str | Column) -> Column:
+    """Distinct words over two characters, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2)))
+
+
 def word_sets(rows: DataFrame, group: str, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(g, id, set of each row with words over two characters; g, set, n, words of each distinct set): a set goes by its smallest id."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2)))
-    rows = rows.select(F.col(group).alias("g"), F.col(id_).alias("id"), words.alias("words")).where(F.size("words") > 0)
+    rows = rows.select(F.col(group).alias("g"), F.col(id_).alias("id"), _words(text).alias("words")).where(F.size("words") > 0)
     sets = rows.groupBy("g", "words").agg(F.min("id").alias("set"), F.size(F.first("words")).alias("n"))
     return rows.join(sets, ["g", "words"]).select("g", "id", "set"), sets
 
@@ -50,8 +58,80 @@ def alike_texts(rows: DataFrame, group: str, id_: str, text: str, least: float =
     return pairs, named.select(F.col("g").alias(group), F.col("id").alias(id_), "set")
 
 
-def jaccard_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:
-    """Pairs (a < b) of rows of a group above such a similarity (equal texts below 1 included): all pairs, copies too. Where copies are many, take alike_texts."""
+def by_size(rows: DataFrame, group: str, small: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of so many rows at most, and those of larger groups; of these, one in small rows is a key at most, so keys are few. Rows without a group are in neither."""
+    large = F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > small).select(group))
+    return rows.where(F.col(group).isNotNull()).join(large, group, "left_anti"), rows.join(large, group, "left_semi")
+
+
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(g, ids, word sets) of each group of rows that come in order of it; the rows of one group are held."""
+    group, ids, sets = None, [], []
+    for batch in batches:
+        for g, i, words in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "words")), strict=True):
+            if g != group:
+                if ids:
+                    yield group, ids, sets
+                group, ids, sets = g, [], []
+            ids.append(i)
+            sets.append(frozenset(words))
+    if ids:
+        yield group, ids, sets
+
+
+def alike(s: frozenset, t: frozenset, least: float) -> float:
+    """Similarity of two sets, or 0 where it is not above least."""
+    both = len(s & t) if min(len(s), len(t)) >= max(len(s), len(t)) * least - 1e-9 else 0
+    found = both / (len(s) + len(t) - both)
+    return found if found > least else 0.0
+
+
+def compared(rows: DataFrame, group: str, id_: str, text: str, work: Callable[[list, list], Iterable[tuple]], names: tuple[str, ...], more: str = "") -> DataFrame:
+    """g and what work makes of the ids and word sets of each group, in order of id: ids under each of names, and more. A group is held by one task."""
+    given = rows.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
+    fields = [("g", "g"), *((n, "id") for n in names)]
+    schema = ", ".join(f"{n} {given.schema[c].dataType.simpleString()}" for n, c in fields) + more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = [first.schema.field(c).type for _, c in fields] + [pa.float64()] * bool(more)
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[*(n for n, _ in fields), *more.split()[1:2]])
+        out = []
+        for g, ids, sets in in_groups(chain((first,), batches)):
+            for row in work(ids, sets):
+                out.append((g, *row))
+                if len(out) >= 20_000:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = given.repartition(n, "g").sortWithinPartitions("g", "id")  # texts travel, not their words
+    return dealt.select("g", "id", _words("text").alias("words")).where(F.size("words") > 0).mapInArrow(run, schema)
+
+
+def jaccard_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9, small: int = SMALL) -> DataFrame:
+    """Pairs (a < b) of rows of a group above such a similarity (equal texts below 1 included): all pairs, copies too. Where copies are many, take alike_texts.
+
+    The rows of a small group are compared in one task; of larger groups, sets meet by joins on rare words.
+    """
+
+    def pairs(ids: list, sets: list) -> Iterator[tuple]:
+        for k, (a, s) in enumerate(zip(ids, sets)):
+            for b, t in zip(ids[k + 1 :], sets[k + 1 :]):
+                if a < b and (found := alike(s, t, least)):
+                    yield a, b, found
+
+    few, many = by_size(rows, group, small)
+    near = compared(few, group, id_, text, pairs, ("a", "b"), ", similarity double").withColumnRenamed("g", group)
+    return near.unionByName(_joined_pairs(many, group, id_, text, least))
+
+
+def _joined_pairs(rows: DataFrame, group: str, id_: str, text: str, least: float) -> DataFrame:
     named, sets = word_sets(rows, group, id_, text)
     member = lambda end, as_: named.select("g", F.col("set").alias(end), F.col("id").alias(as_))
     unlike = alike_sets(sets, least).join(member("s", "x"), ["g", "s"]).join(member("t", "y"), ["g", "t"]).select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
@@ -74,19 +154,35 @@ def _fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["g", "t"]).filter(pa.array(new, pa.bool_()))
 
 
-def keep_first_unlike(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9) -> DataFrame:
+def keep_first_unlike(rows: DataFrame, group: str, id_: str, text: str, least: float = 0.9, small: int = SMALL) -> DataFrame:
     """Greedy near-dedup in order of id: a row goes if it is like one that was kept.
 
-    Copies share the fate of the first of them, or go because of it, so only sets are compared; pairs stream through in order.
+    Small groups are gone through by one task each. In larger ones copies share the fate of the first of them, or go because
+    of it, so only sets are compared; pairs stream through in order.
     """
     if least >= 1:
         return rows
+
+    def falls(ids: list, sets: list) -> Iterator[tuple]:
+        kept = []
+        for i, t in zip(ids, sets):
+            if any(alike(s, t, least) for s in kept):
+                yield (i,)
+            else:
+                kept.append(t)
+
+    few, many = by_size(rows, group, small)
+    gone = compared(few, group, id_, text, falls, ("id",)).unionByName(_joined_falls(many, group, id_, text, least)).withColumnsRenamed({"g": group, "id": id_})
+    return rows.join(gone, [group, id_], "left_anti")
+
+
+def _joined_falls(rows: DataFrame, group: str, id_: str, text: str, least: float) -> DataFrame:
+    """g, id of the rows that go."""
     named, sets = word_sets(rows, group, id_, text)
     pairs = alike_sets(sets, least).select("g", "s", "t")
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("g", "t"))
     fallen = pairs.repartition("g").sortWithinPartitions("g", "t", "s").mapInArrow(_fall, schema).select("g", F.col("t").alias("id"))
-    gone = named.where("id <> set").select("g", "id").unionByName(fallen).withColumnsRenamed({"g": group, "id": id_})
-    return rows.join(gone, [group, id_], "left_anti")
+    return named.where("id <> set").select("g", "id").unionByName(fallen)
 
 
 def ancestors(section: Column) -> Column:

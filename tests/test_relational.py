@@ -48,6 +48,23 @@ def test_near_dedup(spark, seed, least):
                 assert (a == b) == (words_of(t) == words_of(u)) and (a == b or ((g, a, b) in alike) == like(words_of(t), words_of(u)))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_of_any_size(spark, seed):
+    df = spark.createDataFrame(texts(seed) + [(None, "x4" if seed % 2 else 903, "word1 word2")], f"g int, id {'string' if seed % 2 else 'long'}, text string").repartition(5)
+    for least in (0.6, 0.9):
+        pairs = [sorted(map(tuple, J.jaccard_pairs(df, "g", "id", "text", least, small=n).collect())) for n in (1000, 76, 0)]
+        kept = [sorted(r.id for r in J.keep_first_unlike(df, "g", "id", "text", least, small=n).collect()) for n in (1000, 76, 0)]
+        assert pairs[0] and pairs[0] == pairs[1] == pairs[2] and kept[0] == kept[1] == kept[2]
+
+
+def test_small_groups_need_no_joins_of_words(spark):
+    df = spark.createDataFrame([(g, i, f"one two three four{i % 3}") for g in range(20) for i in range(5)], "g int, id long, text string")
+    out = J.jaccard_pairs(df, "g", "id", "text", 0.6)
+    assert out.count() == 200
+    large = J.by_size(df, "g", J.SMALL)[1]
+    assert large.count() == 0 and J.by_size(df, "g", 4)[1].count() == 100
+
+
 @pytest.mark.parametrize("bin_rows", [1, 7, 100_000])
 def test_outside_intervals(spark, bin_rows):
     rng = random.Random(bin_rows)
