@@ -95,12 +95,26 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
+def where(text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(text) where test(text) holds, which must be so for all texts that change alters; else the text as it is."""
+    return let(text, lambda t: F.when(test(t), change(t)).otherwise(t))
+
+
+def holds(*signs: str, any_case: bool = False) -> Callable[[Column], Column]:
+    """Whether a text holds one of the signs; any_case: signs in lower case."""
+    return lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(t) if any_case else t, F.lit(s)) for s in signs])
+
+
 def matches(text: Column, pattern: str, any_case: bool = True) -> Column:
     return text.rlike(("(?i)" if any_case else "") + java(pattern))
 
 
 def any_of(text: Column, patterns: tuple[str, ...], any_case: bool = True) -> Column:
-    """Whether one of the patterns is found: a single pass with an alternation. Those that begin with a word share one test of its start."""
+    """Whether one of the patterns is found: a single pass with an alternation. Those that begin with a word share one test of its start, and so do those that begin a text."""
+    first = [p[1:] for p in patterns if p.startswith("^") and len(branches(p)) == 1]
+    if len(first) > 1:
+        rest = tuple(p for p in patterns if not (p.startswith("^") and len(branches(p)) == 1))
+        patterns = (*rest, "^(?:" + "|".join(first) + ")")
     words = [p[2:] for p in patterns if p.startswith(r"\b") and len(branches(p)) == 1 and starts_in_word(p[2:])]
     others = [f"(?:{p})" for p in patterns if not (p.startswith(r"\b") and len(branches(p)) == 1 and starts_in_word(p[2:]))]
     return matches(text, "|".join([*([r"\b(?:" + "|".join(words) + ")"] if words else []), *others]), any_case)

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reqloom.functions.regexlib import java, let, matches, replaced, replaced_where_found
+from reqloom.functions.regexlib import holds, java, let, matches, replaced, replaced_where_found, where
 
 HEAVY, LIGHT = "═" * 80, "─" * 58
 
@@ -94,9 +94,13 @@ NOTICES = {
 }
 
 
+#: The characters that java() has for \\s.
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, java(r"^\s+|\s+\z"), "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def section_markers(text: Column) -> Column:
@@ -110,19 +114,29 @@ def separate_requirements(text: Column) -> Column:
     return replaced(text, ((r"(\S)[^\S\n]*(?<!\n)(?<![\d.])(\d+\.\d+\.\d+\.?\s+)", "$1\n\n$2"),), "")
 
 
+def bulleted(text: Column) -> Column:
+    out = replaced(text, BULLETS[:1], "m")
+    for step, signs in zip(BULLETS[1:], ("*", "-", "–—"), strict=True):
+        out = where(out, holds(*signs), lambda t, step=step: replaced(t, (step,), "m"))
+    return out
+
+
 def numbered_lists(text: Column) -> Column:
-    return replaced(replaced(replaced(text, LISTS, "m"), LISTS_ANY_CASE, "mi"), LETTERED, "m")
+    out = where(replaced(text, LISTS[:1], "m"), holds(")"), lambda t: replaced(t, LISTS[1:], "m"))
+    return where(out, holds("("), lambda t: replaced(replaced(t, LISTS_ANY_CASE, "mi"), LETTERED, "m"))
 
 
 def preprocess(text: Column, markers: bool = True, separate: bool = True, bullets: bool = True, lists: bool = True, tables: bool = True) -> Column:
     """Normalised tender text; each optional step can be left out."""
-    out = replaced(replaced(text, WHITESPACE, ""), SECTION_NUMBERS, "")
+    out = where(text, holds("\r"), lambda t: replaced(t, WHITESPACE[:2], ""))
+    out = where(out, holds("\n\n\n\n"), lambda t: replaced(t, WHITESPACE[2:3], ""))
+    out = replaced(replaced(out, WHITESPACE[3:], ""), SECTION_NUMBERS, "")
     out = section_markers(out) if markers else out
     out = separate_requirements(out) if separate else out
-    out = replaced(out, BULLETS, "m") if bullets else out
+    out = bulleted(out) if bullets else out
     out = numbered_lists(out) if lists else out
     out = replaced(out, TABLE_HEADER, "m") if tables else out
-    return strip(replaced(out, ((r"\n{4,}", "\n\n\n"),), ""))
+    return strip(where(out, holds("\n\n\n\n"), lambda t: replaced(t, WHITESPACE[2:3], "")))
 
 
 def for_model(text: Column) -> Column:

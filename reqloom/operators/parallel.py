@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqloom.functions.families import CHUNK_HEADINGS, FAMILIES, HEADINGS, SPLIT_HEADING
+from reqloom.functions.signs import Signs
 from reqloom.functions.text import strip
 from reqloom.operators import extraction as X
 
@@ -70,11 +71,10 @@ def pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
 
 def places(text: str, lo: int, hi: int, groups: list[tuple]) -> Iterator[tuple]:
     """(kind, family, nth, match) of every place in text[lo:hi] where one of the patterns matches."""
+    signs = Signs(text)
     for kind, family, nth, p in groups:
-        at = lo
-        while (m := X.pattern(p).search(text, at)) and m.start() < hi:
+        for m in signs.everywhere(p, lo, hi):
             yield kind, family, nth, m
-            at = m.start() + 1
 
 
 def event(kind: int, family: int, nth: int, m: re.Match) -> tuple[int, str | None, str | None, bool]:

@@ -60,7 +60,7 @@ def test_groups_of_any_size(spark, seed):
 def test_small_groups_need_no_joins_of_words(spark):
     df = spark.createDataFrame([(g, i, f"one two three four{i % 3}") for g in range(20) for i in range(5)], "g int, id long, text string")
     out = J.jaccard_pairs(df, "g", "id", "text", 0.6)
-    assert out.count() == 200
+    assert out.count() == 40
     large = J.by_size(df, "g", J.SMALL)[1]
     assert large.count() == 0 and J.by_size(df, "g", 4)[1].count() == 100
 
