@@ -97,3 +97,16 @@ def test_scheduled_batches_add_nothing_twice(spark, tmp_path):
     for _ in range(2):
         keyed.run_once(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 50
+
+
+def test_many_keys_share_buckets(spark, tmp_path):
+    rows = [(i, START + datetime.timedelta(milliseconds=250 * i), i % 6, i % 7 == 3) for i in range(6000)] + [(99_999, START + datetime.timedelta(hours=1), 0, False), (100_000, START + datetime.timedelta(hours=1), 0, False)]
+    df = spark.createDataFrame(rows, "call long, ts timestamp, failures int, fatal boolean")
+    want = sorted(map(tuple, E.attempts(df, "call", "ts", "failures", "fatal").collect()), key=repr)
+    assert streamed(spark, df, "ts", 3, lambda s: timed.attempts(s, "call", "ts", "failures", "fatal"), f"{tmp_path}/calls") == want
+    jobs = df.select(F.col("call").alias("tie"), F.concat(F.lit("j"), (F.col("call") % 1500).cast("string")).alias("job"), "ts", F.when(F.col("failures") == 5, "COMPLETE").when(F.col("fatal"), "FAILED").otherwise("PROCESSING").alias("state"))
+    last = F.lit(START + datetime.timedelta(hours=1))
+    want = sorted(map(tuple, E.job_ends(jobs, "job", "ts", "tie", "state", last, 200).collect()), key=repr)
+    assert {r[2] for r in want} == {"reported", "timed out"}
+    assert streamed(spark, jobs, "ts", 3, lambda s: timed.job_ends(s, "job", "ts", "tie", "state", 200), f"{tmp_path}/jobs") == want
+    assert df.select(timed._bucket("call")).distinct().count() <= timed.BUCKETS < df.count() / 10
