@@ -15,6 +15,7 @@ from reqloom.operators import parallel
 from reqloom.operators import profile as P
 from reqloom.operators.asking import profiles
 from reqloom.plans.texts import tender_documents, varied_tenders
+from reqloom.session import written
 from reqloom.sources.html import html_text
 
 
@@ -60,7 +61,7 @@ def guided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guided_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scan by a profile finds, classified."""
     docs = profiled(spark, sf_dir)
-    return X.classified(docs, X.candidates(docs, profile=True))
+    return X.classified(docs, X.candidates(docs, profile=True, titles=True))
 
 
 def tender_told(prompt: str) -> str:
@@ -74,10 +75,10 @@ def tender_told(prompt: str) -> str:
 
 def profiled_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenders profiled, then scanned each by its own profile (those without a profile as without one), and classified."""
-    docs = tenders(spark, sf_dir)
+    docs = written(tenders(spark, sf_dir), "tenders")
     made = profiles(docs, tender_told, P.prompt(F.col("text")), tasks=int(spark.conf.get("spark.sql.shuffle.partitions")), wait=lambda s: None)
     ready = P.guided(docs, made)
-    return X.classified(ready, X.candidates(ready, profile=True))
+    return X.classified(ready, X.candidates(ready, profile=True, titles=True))
 
 
 def extraction_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +92,12 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents and tenders, by each of the three routes."""
-    return parallel.planned_chunks(all_texts(spark, sf_dir))
+    return parallel.planned_chunks(written(all_texts(spark, sf_dir), "texts"))
 
 
 def chunked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all documents and tenders, with many tasks to a long text."""
-    return parallel.candidates(all_texts(spark, sf_dir))
+    return parallel.candidates(written(all_texts(spark, sf_dir), "texts"))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,7 @@ def profile_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tenders(spark, sf_dir)
+    docs = written(tenders(spark, sf_dir), "tenders")
     rows = X.candidates(docs)
     return P.range_texts(docs, rows, docs.select("doc_id", F.lit("3.1").alias("first"), F.lit("3.2.99999").alias("last")))
 
