@@ -14,6 +14,7 @@ from reqloom.operators import scoring
 from reqloom.plans import matrix as M
 from reqloom.plans.corpus import criteria, projects, requirements
 from reqloom.plans.extracts import tenders
+from reqloom.session import written
 
 NOW = "2024-01-20 00:00:00"
 PLANS = tuple(A.PLAN_LIMITS)
@@ -122,8 +123,8 @@ def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run for each tender: candidates of the scan, those left after near-dedup, the numbers stated in the text, and how many of these no row covers."""
-    docs = tenders(spark, sf_dir)
-    rows = X.all_candidates(docs).withColumn("row", F.xxhash64("doc_id", "start", "label"))
+    docs = written(tenders(spark, sf_dir), "tenders")
+    rows = written(X.all_candidates(docs).select("doc_id", "label", "text", F.xxhash64("doc_id", "start", "label").alias("row")), "candidates")
     kept = J.keep_first_unlike(rows, "doc_id", "row", "text")
     stated = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\d.])(\d+\.\d+\.\d+)(?![\d.])"), F.lit(1)))).alias("section"))
     missing = J.uncovered_sections(stated, kept.select("doc_id", F.col("label").alias("section")), "doc_id")
