@@ -126,7 +126,7 @@ def extraction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(tenders(spark, sf_dir), "tenders")
     rows = written(X.all_candidates(docs).select("doc_id", "label", "text", F.xxhash64("doc_id", "start", "label").alias("row")), "candidates")
     kept = J.keep_first_unlike(rows, "doc_id", "row", "text")
-    stated = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\d.])(\d+\.\d+\.\d+)(?![\d.])"), F.lit(1)))).alias("section"))
+    stated = written(docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\d.])(\d+\.\d+\.\d+)(?![\d.])"), F.lit(1)))).alias("section")), "stated")
     missing = J.uncovered_sections(stated, kept.select("doc_id", F.col("label").alias("section")), "doc_id")
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     out = docs.select("doc_id")
